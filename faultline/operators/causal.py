@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.operators.scale import top_k
-from faultline.session import cut_lineage
 
 # fixed values
 MAX_METRICS = 120
@@ -227,36 +226,37 @@ def transition(
 
 
 def expected_visits(
-    moves: DataFrame, entries: DataFrame, walks: int = WALKS, steps: int = WALK_STEPS, cut_every: int = 5
+    moves: DataFrame, entries: DataFrame, walks: int = WALKS, steps: int = WALK_STEPS
 ) -> DataFrame:
     """Expected visit counts of ``walks`` random walks of ``steps`` steps from each entry.
 
-    The exact expectation replaces sampling: mass moves along the edges once per step and a node
-    without outgoing edges ends the walk. Mass is summed per node before every next step.
+    The exact expectation replaces sampling: mass moves along the edges once per step, and a node
+    without outgoing edges ends the walk. An incident's graph has at most MAX_METRICS nodes, so one
+    row per incident replaces a shuffle per step.
     """
-    nodes = moves.select("incident_id", F.explode(F.array("src", "dst")).alias("src")).distinct()
-    stay = nodes.select("incident_id", "src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("p"))
-    # a row with a null p keeps what the node has counted so far
-    arcs = moves.unionByName(stay).withColumnRenamed("src", "node").persist()
-    state = entries.select(
-        "incident_id",
-        F.col("entry").alias("node"),
-        F.lit(float(walks)).alias("mass"),
-        F.lit(0.0).alias("visits"),
-    )
-    moved = F.coalesce(F.col("mass") * F.col("p"), F.lit(0.0))
-    for step in range(1, steps + 1):
-        state = (
-            state.join(arcs, ["incident_id", "node"])
-            .groupBy("incident_id", F.col("dst").alias("node"))
-            .agg(
-                F.sum(moved).alias("mass"),
-                F.sum(F.when(F.col("p").isNull(), F.col("visits")).otherwise(moved)).alias("visits"),
-            )
-        )
-        if step % cut_every == 0:
-            state = cut_lineage(state)
-    return state.filter(F.col("visits") > 0).select("incident_id", "node", "visits")
+    graphs = moves.groupBy("incident_id").agg(F.collect_list(F.struct("src", "dst", "p")).alias("moves"))
+
+    @F.pandas_udf("array<struct<node: string, visits: double>>")
+    def walk(moves: pd.Series, entry: pd.Series) -> pd.Series:
+        out = []
+        for arcs, start in zip(moves, entry):
+            names = sorted({start, *(a["src"] for a in arcs), *(a["dst"] for a in arcs)})
+            at = {name: i for i, name in enumerate(names)}
+            p = np.zeros((len(names), len(names)))
+            for a in arcs:
+                p[at[a["src"]], at[a["dst"]]] = a["p"]
+            mass, visits = np.zeros(len(names)), np.zeros(len(names))
+            mass[at[start]] = walks
+            for _ in range(steps):
+                mass = mass @ p
+                visits += mass
+            out.append([{"node": n, "visits": float(v)} for n, v in zip(names, visits) if v > 0])
+        return pd.Series(out)
+
+    n = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = graphs.join(entries, "incident_id").repartition(n, "incident_id")
+    found = rows.select("incident_id", F.explode(walk("moves", "entry")).alias("v"))
+    return found.select("incident_id", "v.node", "v.visits")
 
 
 def gamma(visits: DataFrame, eta: DataFrame, share: float = 0.5) -> DataFrame:
