@@ -256,3 +256,24 @@ def grouped_quantiles(
         picked = picked.select(*keys, ((1 - frac) * F.col("_a") + frac * F.col("_b")).alias(name))
         hot_result = hot_result.join(picked, list(keys))
     return result.unionByName(hot_result)
+
+
+def global_running_sum(
+    df: DataFrame, order: Sequence[Column | str], value: str, name: str
+) -> DataFrame:
+    """Sum of ``value`` over all rows before the current one in a global order (unique order keys).
+
+    Works like ``global_index``: local sums inside ranges plus the totals of the ranges before.
+    """
+    order = [_as_col(c) for c in order]
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.sum(value).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        ranged.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_local") + F.col("_offset"))
+        .drop("_part", "_local", "_offset")
+    )
