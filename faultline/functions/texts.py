@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.numbers import fixed
+
 
 def trace_descriptions(positions: DataFrame, min_score: float = 2.0) -> DataFrame:
     """One sentence per structural or timeout trace; the timeouts list every position out of range.
@@ -34,3 +36,58 @@ def trace_descriptions(positions: DataFrame, min_score: float = 2.0) -> DataFram
         F.col("verdict") == "structural", F.concat(F.lit("structural anomaly, trace "), "trace_id")
     ).otherwise(F.concat(F.lit("call timeout, trace "), "trace_id", F.lit(": "), "details"))
     return verdicts.join(details, "trace_id", "left").select("trace_id", text.alias("description"))
+
+
+def embedded_json(text: Column) -> Column:
+    """The JSON object inside a text: a fenced block, else the outermost braces."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
+    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.when(fenced != "", fenced).when(braces != "", braces)
+
+
+# fixed values: openings of lines that carry no content
+FILLERS = [
+    "we are given",
+    "i need to",
+    "let me",
+    "okay",
+    "hmm",
+    "the user",
+    "based on the above",
+    "therefore",
+    "final answer",
+    "output:",
+    "answer:",
+]
+
+
+def kept_lines(text: Column, fillers: list[str] | None = None) -> Column:
+    """Non-empty trimmed lines that do not begin with a filler."""
+    starts = "^(" + "|".join(fillers or FILLERS) + ")"
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    return F.filter(lines, lambda x: (x != "") & ~F.lower(x).rlike(starts))
+
+
+def knowledge_paragraph(totals: DataFrame, flags: DataFrame) -> DataFrame:
+    """Status, top-5 metrics, top-10 contributions and services of each incident as one text.
+
+    totals is (incident_id, metric, total), flags (incident_id, is_anomalous).
+    """
+    ranked = F.array_sort(
+        F.collect_list(F.struct((-F.col("total")).alias("o"), F.col("metric"), fixed("total", 4).alias("t")))
+    )
+    rows = totals.groupBy("incident_id").agg(ranked.alias("r")).join(flags, "incident_id")
+    top = F.slice("r", 1, 5)
+    numbered = F.transform(top, lambda x, i: F.concat(F.lit("("), i + 1, F.lit(") "), x["metric"]))
+    shares = F.transform(F.slice("r", 1, 10), lambda x: F.concat_ws(" ", x["metric"], x["t"]))
+    services = F.array_distinct(F.transform(top, lambda x: F.substring_index(x["metric"], "_", 1)))
+    status = F.when(F.col("is_anomalous"), "The system is in an anomalous state.").otherwise(
+        "The metric correlations are within normal bounds."
+    )
+    text = F.concat(
+        status,
+        F.lit("\nTop metrics: "), F.array_join(numbered, ", "),
+        F.lit("\nContribution: "), F.array_join(shares, ", "),
+        F.lit("\nServices: "), F.array_join(services, ", "),
+    )
+    return rows.select("incident_id", text.alias("text"))
