@@ -43,8 +43,8 @@ WATERMARK = "(SELECT max(us) // 1000 * 1000 - 600000000 FROM ev)"
 
 @query(
     "t1_bucketed_metrics",
-    f"""SELECT us // 30000000 * 30 AS start_s, 'svc' || CAST(user_id % 3 AS VARCHAR) AS service, event_type AS kpi, round(avg(value), 6) AS value, count(*) AS n
-FROM ev GROUP BY ALL HAVING (us // 30000000 + 1) * 30000000 <= {WATERMARK}""",
+    f"""b AS (SELECT us // 30000000 * 30 AS start_s, 'svc' || CAST(user_id % 3 AS VARCHAR) AS service, event_type AS kpi, value FROM ev)
+SELECT start_s, service, kpi, round(avg(value), 6) AS value, count(*) AS n FROM b GROUP BY ALL HAVING (start_s + 30) * 1000000 <= {WATERMARK}""",
 )
 def t1(t):
     out = live.run_available(live.bucketed(event_stream(t), DELAY), "t1")
