@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_N = 4
 ROUGE_BETA = 1.2  # fixed value
@@ -59,7 +60,7 @@ def bleu4(pairs: DataFrame) -> DataFrame:
     return sizes.join(logs, "pair_id", "left").select("pair_id", score.alias("bleu4"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common subsequence of two token lists, one bit per token of the first."""
     out = []

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: tail probability, first level and quantile levels
@@ -20,8 +20,9 @@ FEATURE_QUANTILE = 0.97
 KEYS = ["incident_id", "metric"]
 
 
-def z_errors(series: DataFrame, train: Column, keys=KEYS) -> DataFrame:
+def z_errors(series: DataFrame, train: str, keys=KEYS) -> DataFrame:
     """Squared z of every point against its series' calibration part (deviation 0 becomes 1e-6)."""
+    train = F.expr(train)
     whole = Window.partitionBy(*keys)
     v = F.when(train, F.col("value"))
     std = F.stddev_pop(v).over(whole)
@@ -52,8 +53,9 @@ def feature_ranking(errors: DataFrame) -> DataFrame:
     return errors.filter(~F.col("train")).groupBy(*KEYS).agg(F.sum("error").alias("total"))
 
 
-def sigma_thresholds(series: DataFrame, train: Column, n_std: float = 3.0) -> DataFrame:
+def sigma_thresholds(series: DataFrame, train: str, n_std: float = 3.0) -> DataFrame:
     """Constant limit per series: mean + n_std * max(std, 1e-8) of the calibration part."""
+    train = F.expr(train)
     whole = Window.partitionBy(*KEYS)
     v = F.when(train, F.col("value"))
     limit = F.avg(v).over(whole) + n_std * F.greatest(F.stddev_pop(v).over(whole), F.lit(1e-8))
@@ -82,8 +84,9 @@ def scaled_to(multi: DataFrame, eta_uni: DataFrame) -> DataFrame:
     return joined.withColumn("eta_multi", scaled)
 
 
-def direction_events(series: DataFrame, train: Column, keys=KEYS, limit: float = 3.0) -> DataFrame:
+def direction_events(series: DataFrame, train: str, keys=KEYS, limit: float = 3.0) -> DataFrame:
     """Metrics whose tested mean abs z exceeds ``limit``, with the direction of the change."""
+    train = F.expr(train)
     whole = Window.partitionBy(*keys)
     v = F.when(train, F.col("value"))
     std = F.stddev_pop(v).over(whole)
@@ -113,6 +116,14 @@ class _Tail:
         self.nt, self.s1, self.s2 = len(peaks), peaks.sum(), (peaks**2).sum()
         self.refit()
 
+    @classmethod
+    def restored(cls, n, nt, s1, s2, level, limit, q) -> _Tail:
+        """Continue from saved sums; the limit is kept, as it moves with new peaks only."""
+        tail = cls.__new__(cls)
+        tail.n, tail.nt, tail.s1, tail.s2 = n, nt, s1, s2
+        tail.level, tail.limit, tail.q = level, limit, q
+        return tail
+
     def refit(self) -> None:
         # moments estimate of the generalized Pareto tail
         mean = self.s1 / self.nt

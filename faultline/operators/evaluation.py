@@ -77,7 +77,7 @@ def rank_accuracy(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     return (
         joined.withColumn("_nt", nt)
         .groupBy("incident_id")
-        .agg(F.avg(F.coalesce(part, F.lit(0.0))).alias("acc"))
+        .agg(F.avg(F.when(F.col("rank").isNotNull(), part).otherwise(0.0)).alias("acc"))
     )
 
 

@@ -84,15 +84,19 @@ TAIL = " Severity: {tag}."
 
 
 def pattern_class() -> Column:
-    """Class number from the shape facts of a window (see ``series.shape``)."""
+    """Class number from the shape facts of a window (see ``series.shape``).
+
+    A level shift has a different mean in each half and gets there in one large step.
+    """
     spread = F.col("vmax") - F.col("vmin")
     trend = F.try_divide(F.col("last") - F.col("first"), spread)
     shift = F.try_divide(F.col("post_mean") - F.col("pre_mean"), F.col("vstd"))
     high, low = F.col("n_high"), F.col("n_low")
+    jump = F.try_divide(F.col("max_step"), spread)
     joined_high = F.col("high_span") == high - 1
     joined_low = F.col("low_span") == low - 1
     return (
-        F.when((F.abs(shift) >= 1.2) & (F.abs(trend) < 0.8), F.when(shift > 0, 0).otherwise(1))
+        F.when((F.abs(shift) >= 1.2) & (jump >= 0.5), F.when(shift > 0, 0).otherwise(1))
         .when(trend >= 0.8, 2)
         .when(trend <= -0.8, 3)
         .when((high == 1) & (low == 0), 4)

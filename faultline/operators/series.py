@@ -159,6 +159,7 @@ def shape(df: DataFrame, keys, t: str = "k", value: str = "value") -> DataFrame:
     v = F.col(value)
     rows = df.withColumn("_peak", F.when((v > prev) & (v > nxt), 1).otherwise(0))
     rows = rows.withColumn("_dip", F.when((v < prev) & (v < nxt), 1).otherwise(0))
+    rows = rows.withColumn("_step", F.abs(v - prev))
     rows = rows.withColumn("_rn", F.row_number().over(w) - 1)
     rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     whole = Window.partitionBy(*keys)
@@ -175,6 +176,7 @@ def shape(df: DataFrame, keys, t: str = "k", value: str = "value") -> DataFrame:
         F.max(value).alias("vmax"),
         F.avg(value).alias("vmean"),
         F.stddev_pop(value).alias("vstd"),
+        F.max("_step").alias("max_step"),
         F.sum("_peak").alias("peaks"),
         F.sum("_dip").alias("dips"),
         F.avg(F.when(pre, v)).alias("pre_mean"),

@@ -20,29 +20,37 @@ PATH_UNCLEAR = "unclear_start"
 PATH_SEP = "#"
 
 
-def children_stats(spans: DataFrame, keys=(TRACE,)) -> DataFrame:
-    """Per parent span: number of children and their longest duration (pre-aggregated)."""
-    return (
-        spans.filter(F.col("parent_span_id").isNotNull())
-        .groupBy(*keys, F.col("parent_span_id").alias("span_id"))
-        .agg(F.count("*").alias("n_children"), F.max("duration").alias("max_child"))
-    )
-
-
 def with_self_time(spans: DataFrame, keys=(TRACE,), clip: bool = True) -> DataFrame:
     """Add n_children and self_time = duration - longest child, clipped at 0 on request.
 
-    The join key holds the span id, so a trace with very many spans is still spread out.
+    Every span is sent to its own id and, as a child, to its parent's id, and both meet in one
+    aggregation: the spans are read once and never joined to themselves. The key holds the span id
+    and children are combined before the shuffle, so neither a huge trace nor a huge parent ends up
+    in one task.
     """
-    self_time = F.col("duration") - F.coalesce(F.col("max_child"), F.lit(0.0))
+    kept = [c for c in spans.columns if c not in (*keys, "span_id")]
+    own = F.struct(
+        F.col("span_id").alias("id"), F.struct(*kept).alias("own"), F.lit(None).cast("double").alias("child")
+    )
+    own_type = spans.select(F.struct(*kept).alias("own")).schema["own"].dataType
+    as_child = F.struct(
+        F.col("parent_span_id").alias("id"), F.lit(None).cast(own_type).alias("own"), F.col("duration").alias("child")
+    )
+    sent = F.when(F.col("parent_span_id").isNull(), F.array(own)).otherwise(F.array(own, as_child))
+    met = (
+        spans.select(*keys, F.inline(sent))
+        .groupBy(*keys, F.col("id").alias("span_id"))
+        .agg(
+            F.max("own").alias("own"),
+            F.count("child").alias("n_children"),
+            F.max("child").alias("max_child"),
+        )
+        .filter(F.col("own").isNotNull())
+    )
+    self_time = F.col("own.duration") - F.coalesce(F.col("max_child"), F.lit(0.0))
     if clip:
         self_time = F.greatest(F.lit(0.0), self_time)
-    return (
-        spans.join(children_stats(spans, keys), [*keys, "span_id"], "left")
-        .withColumn("n_children", F.coalesce("n_children", F.lit(0)).cast("long"))
-        .withColumn("self_time", self_time)
-        .drop("max_child")
-    )
+    return met.select(*keys, "span_id", "own.*", "n_children", self_time.alias("self_time"))
 
 
 def with_parent(spans: DataFrame) -> DataFrame:
@@ -83,15 +91,16 @@ def call_paths(spans: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     Ancestor links are doubled every round, so a chain of n spans needs about log2(n) joins. Spans
     that reached their top leave the loop; every round is checkpointed.
     """
-    base = spans.select(
+    state = spans.select(
         TRACE,
         "span_id",
+        F.struct(*[c for c in spans.columns if c not in (TRACE, "span_id")]).alias("span"),
         F.col("parent_span_id").alias("up"),
         F.col("service").alias("path"),
         F.lit(1).cast("long").alias("depth"),
         F.lit(False).alias("orphan"),
     )
-    state = base
+    state = cut_lineage(state)
     for _ in range(max_rounds):
         pending = state.filter(F.col("up").isNotNull())
         above = state.select(
@@ -105,6 +114,7 @@ def call_paths(spans: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         stepped = pending.join(above, [TRACE, "up"], "left").select(
             TRACE,
             "span_id",
+            "span",
             F.col("a_up").alias("up"),
             F.coalesce(F.concat_ws(PATH_SEP, "a_path", "path"), "path").alias("path"),
             (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth"),
@@ -116,10 +126,9 @@ def call_paths(spans: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     else:
         raise ValueError("parent links form a cycle")
     prefix = F.when(F.col("orphan"), PATH_UNCLEAR).otherwise(PATH_START)
-    paths = state.select(
-        TRACE, "span_id", F.concat_ws(PATH_SEP, prefix, "path").alias("call_path"), "depth"
+    return state.select(
+        TRACE, "span_id", "span.*", F.concat_ws(PATH_SEP, prefix, "path").alias("call_path"), "depth"
     )
-    return spans.join(paths, [TRACE, "span_id"])
 
 
 def stv(paths: DataFrame, keys=(TRACE,)) -> DataFrame:

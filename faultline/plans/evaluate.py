@@ -130,7 +130,7 @@ def a24(t):
     SETS
     + """,
 n AS (SELECT incident_id, count(*) AS n FROM anchor GROUP BY 1)
-SELECT ts.incident_id, round(avg(coalesce((n.n - greatest(0, rank - nt))::DOUBLE / n.n, 0.0)), 6) AS acc
+SELECT ts.incident_id, round(avg(CASE WHEN rank IS NULL THEN 0.0 ELSE (n.n - greatest(0, rank - nt))::DOUBLE / n.n END), 6) AS acc
 FROM ts JOIN nt USING (incident_id) JOIN n ON n.incident_id = ts.incident_id LEFT JOIN anchor a ON a.incident_id = ts.incident_id AND a.service = ts.name GROUP BY 1""",
 )
 def a25(t):

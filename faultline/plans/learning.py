@@ -9,6 +9,7 @@ from faultline.functions.numbers import r6
 from faultline.operators import detect, learn, ranking
 from faultline.operators import series as se
 from faultline.operators import spans as sp
+from faultline.operators.graphs import neighbour_mean
 from faultline.plans import evaluate, rankings
 from faultline.plans.causal import service_graph
 from faultline.plans.evaluate import SPLIT_DAY
@@ -17,7 +18,6 @@ from faultline.plans.scores import TRAIN
 from faultline.plans.traces import SERVICES
 from faultline.plans.windows import metric_windows
 from faultline.session import cut_lineage
-from faultline.operators.graphs import neighbour_mean
 
 FIELDS = [f"{s}_{f}" for s in SERVICES for f in ("duration", "status", "self_time")]
 
@@ -68,13 +68,13 @@ def m5(t):
 
 @query("m6_reconstruction_scores")
 def m6(t):
-    z = se.zscore(metric_windows(t), ["incident_id", "metric"], TRAIN)
+    z = se.zscore(metric_windows(t), ["incident_id", "metric"], F.expr(TRAIN))
     names = [r["metric"] for r in t.metrics.select("metric").distinct().orderBy("metric").collect()]
     cells = F.map_from_entries(F.collect_list(F.struct("metric", "z")))
     steps = z.groupBy("incident_id", "k").agg(cells.alias("m"))
     values = F.array(*[F.coalesce(F.element_at("m", F.lit(n)), F.lit(0.0)) for n in names])
     rows = cut_lineage(steps.select("incident_id", "k", values.alias("z")))
-    errors = learn.reconstruction_errors(rows, TRAIN, names, 5)
+    errors = learn.reconstruction_errors(rows, F.expr(TRAIN), names, 5)
     return detect.step_scores(errors)
 
 

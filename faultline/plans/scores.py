@@ -11,13 +11,13 @@ from faultline.plans.registry import query
 from faultline.plans.series import SHAPE
 from faultline.plans.windows import MW, metric_windows
 
-TRAIN = F.col("k") < 15
+TRAIN = "k < 15"  # the first half of a window calibrates
 
 BASE = "base AS (SELECT metric, avg(value) AS base_mean, stddev_pop(value) AS base_std FROM metrics GROUP BY metric)"
 
 CLASSED = SHAPE.rstrip() + ",\n" + BASE + """,
-tr AS (SELECT *, (last - first) / nullif(vmax - vmin, 0) AS trend, (post_mean - pre_mean) / nullif(vstd, 0) AS shift FROM sh),
-cl AS (SELECT *, CAST(CASE WHEN abs(shift) >= 1.2 AND abs(trend) < 0.8 THEN CASE WHEN shift > 0 THEN 0 ELSE 1 END
+tr AS (SELECT *, (last - first) / nullif(vmax - vmin, 0) AS trend, (post_mean - pre_mean) / nullif(vstd, 0) AS shift, max_step / nullif(vmax - vmin, 0) AS jump FROM sh),
+cl AS (SELECT *, CAST(CASE WHEN abs(shift) >= 1.2 AND jump >= 0.5 THEN CASE WHEN shift > 0 THEN 0 ELSE 1 END
   WHEN trend >= 0.8 THEN 2 WHEN trend <= -0.8 THEN 3
   WHEN n_high = 1 AND n_low = 0 THEN 4 WHEN n_low = 1 AND n_high = 0 THEN 5
   WHEN n_high > n_low AND high_span = n_high - 1 THEN 6 WHEN n_low > n_high AND low_span = n_low - 1 THEN 7

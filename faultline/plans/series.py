@@ -180,7 +180,7 @@ o AS (SELECT *, lag(value) OVER w AS pv, lead(value) OVER w AS nv,
   WINDOW w AS (PARTITION BY incident_id, metric ORDER BY k), a AS (PARTITION BY incident_id, metric)),
 sh AS (SELECT incident_id, metric, min(service) AS service, min(kpi) AS kpi, min(ts) AS start_ts, max(ts) AS end_ts,
   arg_min(value, k) AS first, arg_max(value, k) AS last, min(value) AS vmin, max(value) AS vmax, avg(value) AS vmean,
-  stddev_pop(value) AS vstd, CAST(count(*) FILTER (value > pv AND value > nv) AS BIGINT) AS peaks,
+  stddev_pop(value) AS vstd, max(abs(value - pv)) AS max_step, CAST(count(*) FILTER (value > pv AND value > nv) AS BIGINT) AS peaks,
   CAST(count(*) FILTER (value < pv AND value < nv) AS BIGINT) AS dips,
   avg(value) FILTER (k < 15) AS pre_mean, avg(value) FILTER (k >= 15) AS post_mean,
   count(*) FILTER (value > m + 2 * s) AS n_high, count(*) FILTER (value < m - 2 * s) AS n_low,

@@ -9,6 +9,7 @@ from faultline.functions.numbers import r6
 from faultline.operators import ranking, spans as sp
 from faultline.operators.scale import grouped_quantiles
 from faultline.plans.registry import query
+from faultline.session import cut_lineage
 from faultline.sources.telemetry import SPAN_SERVICES, Telemetry
 
 SERVICES = [f"svc{i}" for i in range(SPAN_SERVICES)]
@@ -59,9 +60,10 @@ posn AS (SELECT s.trace_id, v.call_path, v.rt, p.n_match, p.mean, p.std,
 
 def split_vectors(t: Telemetry) -> tuple[DataFrame, DataFrame]:
     """Abnormal and normal trace vectors; a trace with a failed span is abnormal."""
-    vectors = sp.stv(sp.call_paths(t.spans))
-    failed = t.spans.groupBy("trace_id").agg(F.max("status").alias("failed"))
-    marked = vectors.join(failed, "trace_id")
+    paths = sp.call_paths(t.spans)
+    failed = paths.groupBy("trace_id").agg(F.max("status").alias("failed"))
+    # read several times below: for signatures, for the normal profile and for the match
+    marked = cut_lineage(sp.stv(paths).join(failed, "trace_id"))
     keep = ["trace_id", "call_path", "rt"]
     return (
         marked.filter(F.col("failed") == 1).select(*keep),

@@ -19,7 +19,9 @@ BASELINE = "10 minutes"
 TRACE_GAP = "10 seconds"
 FAULT_SECONDS = 180
 
-STATE_SCHEMA = "n long, nt long, s1 double, s2 double, level double, recent array<double>, head array<double>"
+STATE_SCHEMA = (
+    "n long, nt long, s1 double, s2 double, level double, bound double, recent array<double>, head array<double>"
+)
 
 
 def bucketed(points: DataFrame, delay: str, width: str = SAMPLING) -> DataFrame:
@@ -108,11 +110,13 @@ def live_thresholds(
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(frames).sort_values("ts")
-        n, nt, s1, s2, level, recent, head = state.get if state.exists else (0, 0, 0.0, 0.0, 0.0, [], [])
+        n, nt, s1, s2, level, bound, recent, head = (
+            state.get if state.exists else (0, 0, 0.0, 0.0, 0.0, 0.0, [], [])
+        )
         recent, head = list(recent), list(head)
         tail = None
         if nt > 0:
-            tail = _restore(n, nt, s1, s2, level, q)
+            tail = _Tail.restored(n, nt, s1, s2, level, bound, q)
         out = []
         for ts, value in zip(rows["ts"], rows["value"]):
             if tail is None:
@@ -130,8 +134,9 @@ def live_thresholds(
                 recent = recent[1:] + [float(value)]
             out.append((*key, ts, float(value), limit, alarm))
         if tail is not None:
-            n, nt, s1, s2, level = tail.n, tail.nt, float(tail.s1), float(tail.s2), float(tail.level)
-        state.update((n, nt, s1, s2, level, recent, head))
+            n, nt = tail.n, tail.nt
+            s1, s2, level, bound = (float(x) for x in (tail.s1, tail.s2, tail.level, tail.limit))
+        state.update((n, nt, s1, s2, level, bound, recent, head))
         yield pd.DataFrame(out, columns=["service", "kpi", "ts", "value", "threshold", "alarm"])
 
     return buckets.groupBy("service", "kpi").applyInPandasWithState(
@@ -139,13 +144,6 @@ def live_thresholds(
     )
 
 
-def _restore(n: int, nt: int, s1: float, s2: float, level: float, q: float) -> _Tail:
-    tail = _Tail.__new__(_Tail)
-    tail.n, tail.nt, tail.s1, tail.s2, tail.level, tail.q = n, nt, s1, s2, level, q
-    tail.refit()
-    return tail
-
-
 def run_available(stream: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> str:
     """Process all available input into a Parquet folder and return it.
 
