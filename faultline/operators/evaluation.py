@@ -177,8 +177,8 @@ def poisson_weight(*key: Column) -> Column:
 def paired_bootstrap(cases: DataFrame, n_boot: int = BOOTSTRAPS) -> DataFrame:
     """Interval of the mean paired difference and the share of resamples without a gain.
 
-    cases is (case_id, delta). Every resample weighs each case by a Poisson(1) draw; cases with
-    equal difference are only summed, so the work is cases x resamples without any shuffle of them.
+    cases is (case_id, delta). Every resample weighs each case by a Poisson(1) draw; the draws are
+    summed per resample before the shuffle, so only resamples x tasks rows move.
     """
     draws = cases.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
     w = poisson_weight(F.col("case_id"), F.col("boot"))

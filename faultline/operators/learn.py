@@ -10,11 +10,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators.patterns import PATTERNS
 from faultline.operators.ranking import rank_within
+from faultline.operators.scale import global_index
 
 # fixed values
 HIDDEN = [100]
@@ -115,9 +116,12 @@ def window_vectors(windows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = FOLDS, seed: int = 42) -> DataFrame:
-    """Fold number per row, balanced inside every label by a hash of the key."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return rows.withColumn("fold", (F.row_number().over(order) - 1) % folds)
+    """Fold number per row, balanced inside every label by a hash of the key.
+
+    Rows are numbered in (label, hash) order over all tasks, so a label with most rows is no problem.
+    """
+    shuffled = rows.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    return global_index(shuffled, [label, "_h", key], "_i").withColumn("fold", F.col("_i") % folds).drop("_h", "_i")
 
 
 def cross_validate(rows: DataFrame, make_model, label: str, folds: int = FOLDS) -> DataFrame:

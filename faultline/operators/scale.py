@@ -193,8 +193,10 @@ def grouped_quantiles(
     percentile. For larger ones, histograms narrow down the values around the wanted ranks until
     what is left of the group fits a task.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(
-        F.count("*").alias("_c")
+    counts = cut_lineage(
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).alias("_x"))
+        .agg(F.count("*").alias("_c"))
     )
     stats = counts.groupBy(*keys).agg(F.count("*").alias("_distinct"), F.sum("_c").alias("_n"))
     hot = stats.filter(F.col("_distinct") > task_rows).persist()
@@ -206,7 +208,6 @@ def grouped_quantiles(
 
     if hot.isEmpty():
         return small(counts)
-    counts = cut_lineage(counts)
     hot_keys = hot.select(*keys)
     result = small(lookup_join(counts, hot_keys, keys, "left_anti"))
     hot_result = hot_keys

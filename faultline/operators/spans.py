@@ -5,7 +5,7 @@ Expected columns: trace_id, span_id, parent_span_id (null at a root), service, d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators.scale import global_index, lookup_join, top_k
@@ -89,7 +89,7 @@ def call_paths(spans: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Add call_path (root to span, joined by '#') and depth.
 
     Ancestor links are doubled every round, so a chain of n spans needs about log2(n) joins. Spans
-    that reached their top leave the loop; every round is checkpointed.
+    that reached their top leave the loop and are not written again; every round is checkpointed.
     """
     state = spans.select(
         TRACE,
@@ -101,9 +101,12 @@ def call_paths(spans: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         F.lit(False).alias("orphan"),
     )
     state = cut_lineage(state)
+    done, pending = [state.filter(F.col("up").isNull())], state.filter(F.col("up").isNotNull())
     for _ in range(max_rounds):
-        pending = state.filter(F.col("up").isNotNull())
-        above = state.select(
+        above = pending
+        for part in done:
+            above = above.unionByName(part)
+        above = above.select(
             TRACE,
             F.col("span_id").alias("up"),
             F.col("up").alias("a_up"),
@@ -116,15 +119,20 @@ def call_paths(spans: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
             "span_id",
             "span",
             F.col("a_up").alias("up"),
-            F.coalesce(F.concat_ws(PATH_SEP, "a_path", "path"), "path").alias("path"),
+            F.concat_ws(PATH_SEP, "a_path", "path").alias("path"),
             (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth"),
             F.coalesce("a_orphan", F.lit(True)).alias("orphan"),
         )
-        state = cut_lineage(state.filter(F.col("up").isNull()).unionByName(stepped))
-        if state.filter(F.col("up").isNotNull()).isEmpty():
+        stepped = cut_lineage(stepped)
+        done.append(stepped.filter(F.col("up").isNull()))
+        pending = stepped.filter(F.col("up").isNotNull())
+        if pending.isEmpty():
             break
     else:
         raise ValueError("parent links form a cycle")
+    state = done[0]
+    for part in done[1:]:
+        state = state.unionByName(part)
     prefix = F.when(F.col("orphan"), PATH_UNCLEAR).otherwise(PATH_START)
     return state.select(
         TRACE, "span_id", "span.*", F.concat_ws(PATH_SEP, prefix, "path").alias("call_path"), "depth"
@@ -183,7 +191,7 @@ def normal_profile(normal_vectors: DataFrame, limit: int = 6) -> DataFrame:
     firsts = matched_normals(normal_vectors, limit)
     live = normal_vectors.filter(F.col("rt") != 0)
     return (
-        live.join(firsts.select(TRACE, *SIGNATURE), TRACE)
+        lookup_join(live, firsts.select(TRACE, *SIGNATURE), [TRACE], "inner")
         .groupBy(*SIGNATURE, "call_path")
         .agg(
             F.count("*").alias("n_match"),
@@ -292,16 +300,3 @@ def trace_vectors(spans_with_depth: DataFrame, services: list[str]) -> DataFrame
             for f in ("duration", "status", "self_time")
         ],
     )
-
-
-def cast_status(status: Column) -> Column:
-    """Ok, OK and 200 are 0; other whole numbers stay; anything else is 0."""
-    text = F.trim(status.cast("string"))
-    return F.when(text.isin("Ok", "OK", "200"), 0).otherwise(
-        F.coalesce(text.try_cast("int"), F.lit(0))
-    )
-
-
-def number_within(df: DataFrame, keys, order, name: str) -> DataFrame:
-    """Local numbering from 0 inside a bounded group (nodes of one incident)."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)

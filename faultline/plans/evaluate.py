@@ -38,7 +38,7 @@ def f2(t):
     return truths(t).select("incident_id", F.explode("candidates").alias("candidate"))
 
 
-RANKS = rk.U_SQL.split(",\na AS (SELECT incident_id")[0].rstrip() + "," + TRUTH.rstrip() + """,
+RANKS = rk.DUAL.rstrip() + "," + TRUTH.rstrip() + """,
 ra AS (SELECT t.incident_id, t.day, (SELECT coalesce(min(rank), 99) FROM anchor a JOIN cand c ON c.incident_id = a.incident_id AND contains(a.service, c.c)
   WHERE a.incident_id = t.incident_id AND a.rank <= 5) AS truth_rank FROM truth t WHERE incident_id IN (SELECT incident_id FROM anchor)),
 rt AS (SELECT t.incident_id, t.day, (SELECT coalesce(min(rank), 99) FROM trace a JOIN cand c ON c.incident_id = a.incident_id AND contains(a.service, c.c)
@@ -93,7 +93,7 @@ def a33(t):
     )
 
 
-SETS = rk.U_SQL.split(",\na AS (SELECT incident_id")[0].rstrip() + """,
+SETS = rk.DUAL.rstrip() + """,
 ts AS (SELECT DISTINCT i.incident_id, o.service AS name FROM incidents i JOIN incidents o ON o.day = i.day AND o.failure_type = i.failure_type),
 nt AS (SELECT incident_id, count(*) AS nt FROM ts GROUP BY 1)
 """
@@ -297,6 +297,23 @@ def r17(t):
     return sweep(t, ABLATIONS)
 
 
+@query(
+    "r17_reciprocal_rank_ablation",
+    rk.RRF.rstrip()
+    + ","
+    + TRUTH.rstrip()
+    + f""",
+fr AS (SELECT t.incident_id, CASE WHEN t.day >= {SPLIT_DAY} THEN 'validation' ELSE 'test' END AS split, coalesce(min(f.rank) FILTER (contains(f.service, c.c)), 99) AS truth_rank
+  FROM rrf f JOIN truth t USING (incident_id) JOIN cand c ON c.incident_id = f.incident_id GROUP BY ALL)
+SELECT split, {ACC} FROM fr GROUP BY ALL""",
+)
+def r17_rrf(t):
+    ranks = ev.truth_rank(named(fusion.reciprocal_rank_fusion(rk.four_lists(t))), truths(t))
+    split = F.when(F.col("day") >= SPLIT_DAY, "validation").otherwise("test").alias("split")
+    dated = ranks.join(t.incidents.select("incident_id", split), "incident_id")
+    return rounded(ev.accuracy(dated, ("split",)), "ac1", "ac3", "ac5")
+
+
 def fused_case_sql() -> str:
     return (
         rk.fuse_sql(rk.ONE.format(c="false", p="true", l="false")).rstrip()

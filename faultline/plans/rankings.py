@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.functions.numbers import r6
-from faultline.operators import detect, fusion, ranking
+from faultline.operators import causal, detect, fusion, ranking
 from faultline.plans.registry import query
 from faultline.plans.scores import MULTI, TRAIN, eta_channels
 from faultline.plans.windows import metric_windows
@@ -222,9 +222,10 @@ def r7(t):
     LISTS + "SELECT incident_id, metric, abs(g_uni) AS gamma FROM chan",
 )
 def r3(t):
-    # no walk at all: visits are missing everywhere and the ranking falls back to abs(eta)
-    none = F.lit(None).cast("double")
-    return channels(t).select("incident_id", "metric", F.coalesce(none, F.abs("g_uni")).alias("gamma"))
+    # no walk at all: the visits are empty and the ranking falls back to abs(eta)
+    none = t.spark.createDataFrame([], "incident_id long, node string, visits double")
+    eta = channels(t).select("incident_id", "metric", F.col("g_uni").alias("eta"))
+    return causal.gamma(none, eta).select("incident_id", "metric", "gamma")
 
 
 @query(

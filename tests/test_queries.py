@@ -56,3 +56,12 @@ def test_entry(spark):
 def test_sample_matches_sql(spark, con, name):
     error, n = compare(contract.queries()[name](spark, SF), con, contract.oracle_sql()[name])
     assert error is None, error
+
+
+def test_localizers_share_one_schema(spark):
+    from faultline.plans import plugins
+    from faultline.sources.telemetry import Telemetry
+
+    out = plugins.localize(Telemetry(spark, SF), ["anchor", "trace", "rrf", "fusion"])
+    assert out.columns == plugins.RANKING
+    assert {r[0] for r in out.select("source").distinct().collect()} == {"anchor", "trace", "rrf", "fusion"}
