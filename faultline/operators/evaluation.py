@@ -218,23 +218,36 @@ def fit_temperature(records: DataFrame, grid: list[float] = TEMPERATURES, fine:
     )
 
 
-def confidence(logits: Column, temperature: float = 1.0) -> dict[str, Column]:
-    """Margins, entropy and top probability of one logit vector."""
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp((x - top) / temperature))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    p = F.transform(e, lambda x: x / total)
-    by_logit, by_p = F.sort_array(logits, asc=False), F.sort_array(p, asc=False)
-    margin = lambda s, v: (F.get(s, F.lit(0)) - F.get(s, F.lit(1))) / F.greatest(
-        F.get(s, F.lit(0)) - F.array_min(v), F.lit(1e-9)
-    )
-    entropy = F.aggregate(p, F.lit(0.0), lambda a, x: a - x * F.log(F.greatest(x, F.lit(1e-12))))
-    return {
-        "logit_margin": margin(by_logit, logits),
-        "prob_margin": margin(by_p, p),
-        "conf_entropy": 1 - entropy / F.log(F.size(logits).cast("double")),
-        "top_prob": F.get(by_p, F.lit(0)),
-    }
+def confidence(df: DataFrame, logits: str, temperature: float = 1.0) -> DataFrame:
+    """Add margins, entropy and top probability of a logit vector.
+
+    Every intermediate vector is a column of its own, so that no lambda repeats it per element.
+    """
+    df = df.withColumn("_top", F.array_max(logits))
+    df = df.withColumn("_e", F.transform(logits, lambda x: F.exp((x - F.col("_top")) / temperature)))
+    df = df.withColumn("_total", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+    df = df.withColumn("_p", F.transform("_e", lambda x: x / F.col("_total")))
+    df = df.withColumn("_sl", F.sort_array(logits, asc=False)).withColumn("_sp", F.sort_array("_p", asc=False))
+
+    def margin(ranked: str) -> Column:
+        first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
+        return (first - second) / F.greatest(first - F.element_at(ranked, -1), F.lit(1e-9))
+
+    entropy = F.aggregate("_p", F.lit(0.0), lambda a, x: a - x * F.log(F.greatest(x, F.lit(1e-12))))
+    return (
+        df.withColumn("logit_margin", margin("_sl"))
+        .withColumn("prob_margin", margin("_sp"))
+        .withColumn("conf_entropy", 1 - entropy / F.log(F.size(logits).cast("double")))
+        .withColumn("top_prob", F.get("_sp", F.lit(0)))
+        .drop("_top", "_e", "_total", "_p", "_sl", "_sp")
+    )
+
+
+def min_max_scaled(df: DataFrame, vector: str) -> DataFrame:
+    """Scale a vector column to 0..1; a constant vector becomes null values."""
+    bounds = df.withColumn("_lo", F.array_min(vector)).withColumn("_span", F.array_max(vector) - F.col("_lo"))
+    scaled = F.transform(vector, lambda v: F.try_divide(v - F.col("_lo"), F.col("_span")))
+    return bounds.withColumn(vector, scaled).drop("_lo", "_span")
 
 
 def cosine(a: Column, b: Column) -> Column:

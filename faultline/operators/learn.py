@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.operators.evaluation import min_max_scaled
 from faultline.operators.patterns import PATTERNS
 from faultline.operators.ranking import rank_within
 from faultline.operators.scale import global_index
@@ -110,9 +111,8 @@ def synthetic_patterns(spark, per_class: int = 200, seed: int = 7) -> DataFrame:
 def window_vectors(windows: DataFrame, keys: list[str]) -> DataFrame:
     """30 min-max scaled values per window, as features."""
     points = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "value")))["value"].alias("v"))
-    lo, hi = F.array_min("v"), F.array_max("v")
-    scaled = F.transform("v", lambda x: F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0)))
-    return points.select(*keys, array_to_vector(scaled).alias("features"))
+    filled = F.transform("v", lambda x: F.coalesce(x, F.lit(0.0)))
+    return min_max_scaled(points, "v").select(*keys, array_to_vector(filled).alias("features"))
 
 
 def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = FOLDS, seed: int = 42) -> DataFrame:

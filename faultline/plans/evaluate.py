@@ -229,7 +229,7 @@ SELECT count(*) AS n, round(avg(CASE WHEN la.v[1] = lb.v[1] THEN 1.0 ELSE 0.0 EN
 )
 def a34(t):
     same = lambda k: F.avg((F.slice("a", 1, k) == F.slice("b", 1, k)).cast("double"))
-    return rk._two_lists(t).agg(
+    return rk.two_lists(t).agg(
         F.count("*").alias("n"), r6(same(1), "same_top1"), r6(same(5), "same_top5")
     )
 
@@ -579,10 +579,10 @@ SELECT vec_id, round((sl[1] - sl[2]) / greatest(sl[1] - list_min(l), 1e-9), 6) A
 )
 def r19(t):
     rows = t.table("embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 20).alias("l"))
-    out = ev.confidence(F.col("l"))
     parts = [F.slice("l", i, 21) for i in (1, 22, 43)]
     agree = (ev.cosine(parts[0], parts[1]) + ev.cosine(parts[0], parts[2]) + ev.cosine(parts[1], parts[2])) / 3
-    return rows.select("vec_id", *[r6(c, n) for n, c in out.items()], r6(agree, "agreement"))
+    out = ev.confidence(rows, "l").withColumn("agreement", agree).drop("l")
+    return rounded(out, *out.columns[1:])
 
 
 @query(
@@ -592,9 +592,7 @@ SELECT vec_id, CAST(i AS INTEGER) AS pos, round((l[i + 1] - list_min(l)) / nulli
 )
 def f1(t):
     rows = t.table("embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("l"))
-    lo, hi = F.array_min("l"), F.array_max("l")
-    scaled = F.transform("l", lambda v: F.try_divide(v - lo, hi - lo))
-    out = rows.select("vec_id", F.posexplode(scaled).alias("pos", "value"))
+    out = ev.min_max_scaled(rows, "l").select("vec_id", F.posexplode("l").alias("pos", "value"))
     return out.withColumn("value", r6("value"))
 
 

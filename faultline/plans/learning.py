@@ -69,6 +69,7 @@ def m5(t):
 @query("m6_reconstruction_scores")
 def m6(t):
     z = se.zscore(metric_windows(t), ["incident_id", "metric"], F.expr(TRAIN))
+    # the metric names are the columns of the vectors, at most MAX_METRICS of them
     names = [r["metric"] for r in t.metrics.select("metric").distinct().orderBy("metric").collect()]
     cells = F.map_from_entries(F.collect_list(F.struct("metric", "z")))
     steps = z.groupBy("incident_id", "k").agg(cells.alias("m"))

@@ -380,7 +380,7 @@ a AS (SELECT incident_id, service FROM anchor WHERE rank <= 5), b AS (SELECT inc
 """
 
 
-def _two_lists(t):
+def two_lists(t):
     anchor, trace = span_lists(t)
     names = lambda df, n: df.filter("rank <= 5").groupBy("incident_id").agg(fusion.names_in_order(name="service").alias(n))
     return names(anchor, "a").join(names(trace, "b"), "incident_id")
@@ -396,7 +396,7 @@ SELECT incident_id, string_agg(service, ',' ORDER BY o) AS merged FROM c GROUP B
 )
 def u1(t):
     merged = F.array_join(F.array_distinct(F.concat("a", "b")), ",")
-    return _two_lists(t).select("incident_id", merged.alias("merged"))
+    return two_lists(t).select("incident_id", merged.alias("merged"))
 
 
 @query(
@@ -404,7 +404,7 @@ def u1(t):
     U_SQL + "SELECT a.incident_id, CAST(count(b.service) AS INTEGER) AS shared FROM a LEFT JOIN b USING (incident_id, service) GROUP BY 1",
 )
 def u2(t):
-    return _two_lists(t).select("incident_id", F.size(F.array_intersect("a", "b")).alias("shared"))
+    return two_lists(t).select("incident_id", F.size(F.array_intersect("a", "b")).alias("shared"))
 
 
 @query(
@@ -413,6 +413,6 @@ def u2(t):
 )
 def u3(t):
     only = F.array_sort(F.array_except("a", "b"))
-    return _two_lists(t).filter(F.size(only) > 0).select(
+    return two_lists(t).filter(F.size(only) > 0).select(
         "incident_id", F.array_join(only, ",").alias("only_anchor")
     )

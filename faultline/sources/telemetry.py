@@ -31,6 +31,7 @@ class Telemetry:
     """Lazy views over one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir
 
