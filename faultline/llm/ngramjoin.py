@@ -9,6 +9,7 @@ has to pass the prefix test of each order before it is verified on its whole set
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ BUCKET_BITS = 18
 FREQUENT = 2.0
 #: parts that the documents of one frequent token are dealt into
 SALTS = 64
-#: rounds in which each document is held against a few others before all pairs across components are
-CHAIN_ROUNDS = 2
+#: bins of the token counts that bound how much two sets can have in common
+BINS = 256
+#: lines in which each document is held against its neighbours before all pairs across components are
+LINES = 2
 
 
 def _token_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -71,12 +74,7 @@ def _set_keys(n: int):
             for lo, hi, tokens, owner in _token_sets(batch.column(1), n):
                 tokens, rows, _, sizes = _ordered(tokens, owner, hi - lo, 0, flat)
                 counts += np.bincount((tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-                keys = []
-                for salt in (3, 5):
-                    sums = np.zeros(len(tokens) + 1, np.uint64)
-                    np.cumsum(mix(tokens * np.uint64(salt) + np.uint64(salt)), out=sums[1:])
-                    ends = np.cumsum(sizes)
-                    keys.append((sums[ends] - sums[ends - sizes]).view(np.int64))
+                keys = [_checksum(t, sizes).view(np.int64) for t in (tokens, mix(tokens))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(hi - lo, np.int32)), ids.slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), *map(pa.array, keys)],
                     ["kind", "id", "n", "a", "b"],
@@ -98,10 +96,7 @@ def _prefixes(n: int, percent: int, sent):
         for batch in batches:
             for lo, hi, tokens, owner in _token_sets(batch.column(1), n):
                 tokens, rows, rank, sizes = _ordered(tokens, owner, hi - lo, 0, classes)
-                sums = np.zeros(len(tokens) + 1, np.uint64)
-                np.cumsum(mix(tokens * np.uint64(3) + np.uint64(3)), out=sums[1:])
-                ends = np.cumsum(sizes)
-                key = sums[ends] - sums[ends - sizes]
+                key = _checksum(tokens, sizes)
                 once = np.zeros(hi - lo, bool)  # equal sets of a slice are listed once
                 once[np.unique(key, return_index=True)[1]] = True
                 need = sizes - (percent * sizes + 99) // 100 + 1
@@ -118,34 +113,57 @@ def _prefixes(n: int, percent: int, sent):
 
 def _lists(values: np.ndarray, rows: np.ndarray, n_rows: int) -> pa.Array:
     ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n_rows)))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-def _candidate_sets(n: int, percent: int, orders: int, sent, wanted):
-    """Whole sets and the prefixes under the further orders, for the documents the bitmap lets through."""
+def _chosen(batch: pa.RecordBatch, bitmap: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Ids and texts of the documents that the bitmap lets through."""
+    ids = _ids(batch)
+    keep = pa.array(in_filter(bitmap, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False))
+    return ids.filter(keep), batch.column(1).filter(keep)
+
+
+def _checksum(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(mix(tokens * np.uint64(3) + np.uint64(3)), out=sums[1:])
+    ends = np.cumsum(sizes)
+    return sums[ends] - sums[ends - sizes]
+
+
+def _marks(n: int, percent: int, orders: int, sent, wanted):
+    """Short signatures: the prefixes under the further orders (32 bits a token) and token counts in
+    ``BINS`` hash bins, whose common part bounds the number of common tokens from above."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, bitmap = sent.value, wanted.value
         for batch in batches:
-            ids = _ids(batch)
-            keep = in_filter(bitmap, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            if not keep.any():
-                continue
-            ids, texts = ids.filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))
+            ids, texts = _chosen(batch, bitmap)
             for lo, hi, tokens, owner in _token_sets(texts, n):
                 lists = []
                 for order in range(1, orders):
                     t, r, rank, sizes = _ordered(tokens, owner, hi - lo, order, classes)
                     first = rank < (sizes - (percent * sizes + 99) // 100 + 1)[r]
-                    lists.append(_lists(t[first], r[first], hi - lo))
+                    lists.append(_lists((t[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), r[first], hi - lo))
+                t, r, _, sizes = _ordered(tokens, owner, hi - lo, 0, classes)
+                bins = np.bincount(r * BINS + (t & np.uint64(BINS - 1)).astype(np.int64), minlength=(hi - lo) * BINS)
+                counts = _lists(bins.astype(np.int32), np.repeat(np.arange(hi - lo), BINS), hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, hi - lo), pa.array(_checksum(t, sizes).view(np.int64)), pa.array(sizes.astype(np.int32)), counts, *lists],
+                    ["node", "a", "n", "bins", *[f"p{k}" for k in range(1, orders)]],
+                )
+
+    return run
+
+
+def _whole_sets(n: int, sent, wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, bitmap = sent.value, wanted.value
+        for batch in batches:
+            ids, texts = _chosen(batch, bitmap)
+            for lo, hi, tokens, owner in _token_sets(texts, n):
                 t, r, _, sizes = _ordered(tokens, owner, hi - lo, 0, classes)
-                sums = np.zeros(len(t) + 1, np.uint64)
-                np.cumsum(mix(t * np.uint64(3) + np.uint64(3)), out=sums[1:])
-                ends = np.cumsum(sizes)
-                key = (sums[ends] - sums[ends - sizes]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(key), pa.array(sizes.astype(np.int32)), _lists(t, r, hi - lo), *lists],
-                    ["id", "a", "n", "tokens", *[f"p{k}" for k in range(1, orders)]],
+                    [ids.slice(lo, hi - lo), pa.array(_checksum(t, sizes).view(np.int64)), _lists(t.view(np.int64), r, hi - lo)], ["node", "a", "tokens"]
                 )
 
     return run
@@ -156,14 +174,29 @@ def _close(n1: str, n2: str, percent: int):
     return (F.col(n1) * 100 >= F.col(n2) * percent) & (F.col(n2) * 100 >= F.col(n1) * percent)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Pairs (u, v) that pass the prefix test of the further orders and then the similarity itself."""
-    sides = [sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"), *[F.col(f"p{k}").alias(f"p{k}{x}") for k in range(1, orders)]) for x in "uv"]
-    both = pairs.join(sides[0], "u").join(sides[1], "v")
+def _possible(pairs: DataFrame, marks: DataFrame, percent: int, orders: int) -> DataFrame:
+    """Pairs that share a prefix token under every further order and whose bins allow the similarity."""
+    names = ["a", "n", "bins", *[f"p{k}" for k in range(1, orders)]]
+    for x in "uv":
+        pairs = pairs.join(marks.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in names]), [x, f"a{x}"])
     for k in range(1, orders):
-        both = both.filter(F.arrays_overlap(f"p{k}u", f"p{k}v"))
+        pairs = pairs.filter(F.arrays_overlap(f"p{k}u", f"p{k}v"))
+    most = F.aggregate(F.zip_with("binsu", "binsv", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return pairs.filter(most * 100 >= (F.col("nu") + F.col("nv") - most) * percent).select("u", "au", "v", "av")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of the wanted similarity."""
+    for x in "uv":
+        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("a").alias(f"a{x}"), F.col("tokens").alias(f"t{x}")), [x, f"a{x}"])
     common = F.size(F.array_intersect("tu", "tv"))
-    return both.filter(common * 100 >= (F.col("nu") + F.col("nv") - common) * percent).select("u", "v")
+    return pairs.filter(common * 100 >= (F.size("tu") + F.size("tv") - common) * percent).select("u", "v")
+
+
+def _pair(first: str, second: str) -> list:
+    """The columns (u, au, v, av) of a pair of structs, the larger node first."""
+    u, v = F.greatest(first, second), F.least(first, second)
+    return [u["node"].alias("u"), u["a"].alias("au"), v["node"].alias("v"), v["a"].alias("av")]
 
 
 def _chain(rows: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -172,17 +205,16 @@ def _chain(rows: DataFrame, seed: int, percent: int) -> DataFrame:
     A frequent token's line is cut into salted parts, whose ends are put in a line of their own.
     """
     part = F.when(F.col("frequent"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0)
-    rows = rows.select("token", "node", "n", "root", part.alias("part"), F.xxhash64("node", F.pmod("token", F.lit(3)) + 3 * seed).alias("h"))
+    place = F.xxhash64("node", F.pmod("token", F.lit(3)) + 3 * seed)
+    rows = rows.select("token", "frequent", part.alias("part"), F.struct("node", "a").alias("s"), "n", place.alias("h"))
 
     def neighbours(df: DataFrame, w) -> DataFrame:
-        df = df.select("node", "n", "root", *[F.lag(c).over(w).alias(f"{c}2") for c in ("node", "n", "root")])
-        df = df.filter((F.col("root") != F.col("root2")) & _close("n", "n2", percent))
-        return df.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v"))
-
-    inner = neighbours(rows, Window.partitionBy("token", "part").orderBy("h", "node"))
-    heads = rows.groupBy("token", "part").agg(F.min(F.struct("h", "node", "n", "root")).alias("s"))
-    heads = heads.filter(F.col("part") >= 0).select("token", "part", "s.*")
-    outer = neighbours(heads, Window.partitionBy("token").orderBy("part"))
+        df = df.select("s", "n", F.lag("s").over(w).alias("s2"), F.lag("n").over(w).alias("n2"))
+        return df.filter(_close("n", "n2", percent)).select(*_pair("s", "s2"))
+
+    inner = neighbours(rows, Window.partitionBy("token", "part").orderBy("h", "s"))
+    heads = rows.filter("frequent").groupBy("token", "part").agg(F.min(F.struct("h", "s", "n")).alias("x"))
+    outer = neighbours(heads.select("token", "part", "x.*"), Window.partitionBy("token").orderBy("part"))
     return inner.union(outer).distinct()
 
 
@@ -218,32 +250,34 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rare = prefixes.filter("not frequent").withColumn("lo", F.min("a").over(same)).withColumn("hi", F.max("a").over(same))
     shared = rare.filter("lo < hi").drop("lo", "hi").union(prefixes.filter("frequent")).distinct()
     shared = stored(shared, "shared")
-    tokens = stored(
-        shared.join(nodes.select("a", F.col("n").cast("int").alias("n"), "node"), ["a", "n"]).select("token", "frequent", "node", "n"), "tokens"
-    )
-    wanted = stored(tokens.select("node").distinct(), "wanted")
-    bitmap = spark.sparkContext.broadcast(key_filter(wanted, "node"))
-    lists = ", ".join(["tokens array<long>", *[f"p{k} array<long>" for k in range(1, orders)]])
-    sets = docs.mapInArrow(_candidate_sets(n, percent, orders, sent, bitmap), f"id long, a long, n int, {lists}")
-    sets = sets.withColumnRenamed("id", "node").join(wanted, "node", "left_semi")
-    sets = sets.join(nodes.select("node", "a"), ["node", "a"], "left_semi").dropDuplicates(["node", "a"])
-    sets = stored(sets, "whole")
-
-    roots, edges = None, None
-    for step in range(CHAIN_ROUNDS + 1):
-        rows = tokens.withColumn("root", F.col("node"))
-        if roots is not None:
-            rows = tokens.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
-        if step < CHAIN_ROUNDS:
-            pairs = _chain(rows, step, percent)
-        else:
-            x = rows.select("token", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-            y = rows.select("token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-            across = (F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")) & _close("nu", "nv", percent)
-            pairs = x.join(y, "token").filter(across).select("u", "v").distinct()
-        found = stored(_verified(pairs, sets, percent, orders), "links")
-        edges = found if edges is None else edges.union(found)
-        roots = stored(components(edges, "u", "v"), "roots")
+    tokens = stored(shared.join(nodes.select("a", F.col("n").cast("int").alias("n"), "node"), ["a", "n"]), "tokens")
+
+    repeated = not keys.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()
+
+    def scan_of(nodes_wanted: DataFrame, body, schema: str, label: str) -> DataFrame:
+        bitmap = spark.sparkContext.broadcast(key_filter(nodes_wanted, "node"))
+        found = docs.mapInArrow(body(bitmap), schema)
+        return stored(found.dropDuplicates(["node", "a"]) if repeated else found, label)
+
+    lists = ", ".join(f"p{k} array<int>" for k in range(1, orders))
+    marks = scan_of(tokens, lambda b: _marks(n, percent, orders, sent, b), f"node long, a long, n int, bins array<int>, {lists}", "marks")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        possible = stored(_possible(pairs, marks, percent, orders), "possible")
+        ends = possible.select(F.explode(F.array("u", "v")).alias("node"))
+        sets = scan_of(ends, lambda b: _whole_sets(n, sent, b), "node long, a long, tokens array<long>", "whole")
+        return stored(_verified(possible, sets, percent), "links")
+
+    lines = [_chain(tokens, seed, percent) for seed in range(LINES)]
+    edges = linked(reduce(DataFrame.union, lines).distinct())
+    roots = stored(components(edges, "u", "v"), "roots")
+    # what is left: all pairs under a common token whose ends are not yet in one component
+    rows = tokens.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node"))
+    side = lambda x: rows.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("a", "n", "root")])
+    across = (F.col("u") > F.col("v")) & (F.col("rootu") != F.col("rootv")) & _close("nu", "nv", percent)
+    rest = side("u").join(side("v"), "token").filter(across).select("u", "au", "v", "av").distinct()
+    edges = edges.union(linked(rest))
+    roots = stored(components(edges, "u", "v"), "roots")
 
     own = keys.join(nodes, ["n", "a", "b"], "left").join(roots, "node", "left")
     return own.select(
