@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,40 +131,44 @@ def _checksum(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return sums[ends] - sums[ends - sizes]
 
 
-def _marks(n: int, percent: int, orders: int, sent, wanted):
-    """Short signatures: the prefixes under the further orders (32 bits a token) and token counts in
-    ``BINS`` hash bins, whose common part bounds the number of common tokens from above."""
+def _marks(n: int, sent, wanted):
+    """Short signatures: the token counts in ``BINS`` hash bins, whose common part bounds the number of
+    common tokens from above. They are null where a count doesn't fit a byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, bitmap = sent.value, wanted.value
         for batch in batches:
             ids, texts = _chosen(batch, bitmap)
             for lo, hi, tokens, owner in _token_sets(texts, n):
-                lists = []
-                for order in range(1, orders):
-                    t, r, rank, sizes = _ordered(tokens, owner, hi - lo, order, classes)
-                    first = rank < (sizes - (percent * sizes + 99) // 100 + 1)[r]
-                    lists.append(_lists((t[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), r[first], hi - lo))
                 t, r, _, sizes = _ordered(tokens, owner, hi - lo, 0, classes)
-                bins = np.bincount(r * BINS + (t & np.uint64(BINS - 1)).astype(np.int64), minlength=(hi - lo) * BINS)
-                counts = _lists(bins.astype(np.int32), np.repeat(np.arange(hi - lo), BINS), hi - lo)
+                counts = np.bincount(r * BINS + (t & np.uint64(BINS - 1)).astype(np.int64), minlength=(hi - lo) * BINS)
+                fits = counts.reshape(hi - lo, BINS).max(axis=1, initial=0) < 128
+                bins = _lists(np.minimum(counts, 127).astype(np.int8), np.repeat(np.arange(hi - lo), BINS), hi - lo)
+                bins = pc.if_else(pa.array(fits), bins, pa.scalar(None, bins.type))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(_checksum(t, sizes).view(np.int64)), pa.array(sizes.astype(np.int32)), counts, *lists],
-                    ["node", "a", "n", "bins", *[f"p{k}" for k in range(1, orders)]],
+                    [ids.slice(lo, hi - lo), pa.array(_checksum(t, sizes).view(np.int64)), pa.array(sizes.astype(np.int32)), bins], ["node", "a", "n", "bins"]
                 )
 
     return run
 
 
-def _whole_sets(n: int, sent, wanted):
+def _whole_sets(n: int, percent: int, orders: int, sent, wanted):
+    """The whole sets, and their prefixes under the further orders."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, bitmap = sent.value, wanted.value
         for batch in batches:
             ids, texts = _chosen(batch, bitmap)
             for lo, hi, tokens, owner in _token_sets(texts, n):
+                lists = []
+                for order in range(1, orders):
+                    t, r, rank, sizes = _ordered(tokens, owner, hi - lo, order, classes)
+                    first = rank < (sizes - (percent * sizes + 99) // 100 + 1)[r]
+                    lists.append(_lists(t[first].view(np.int64), r[first], hi - lo))
                 t, r, _, sizes = _ordered(tokens, owner, hi - lo, 0, classes)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(_checksum(t, sizes).view(np.int64)), _lists(t.view(np.int64), r, hi - lo)], ["node", "a", "tokens"]
+                    [ids.slice(lo, hi - lo), pa.array(_checksum(t, sizes).view(np.int64)), _lists(t.view(np.int64), r, hi - lo), *lists],
+                    ["node", "a", "tokens", *[f"p{k}" for k in range(1, orders)]],
                 )
 
     return run
@@ -174,23 +179,24 @@ def _close(n1: str, n2: str, percent: int):
     return (F.col(n1) * 100 >= F.col(n2) * percent) & (F.col(n2) * 100 >= F.col(n1) * percent)
 
 
-def _possible(pairs: DataFrame, marks: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Pairs that share a prefix token under every further order and whose bins allow the similarity."""
-    names = ["a", "n", "bins", *[f"p{k}" for k in range(1, orders)]]
+def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bins allow the similarity."""
     for x in "uv":
-        pairs = pairs.join(marks.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in names]), [x, f"a{x}"])
-    for k in range(1, orders):
-        pairs = pairs.filter(F.arrays_overlap(f"p{k}u", f"p{k}v"))
-    most = F.aggregate(F.zip_with("binsu", "binsv", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+        pairs = pairs.join(marks.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("a", "n", "bins")]), [x, f"a{x}"])
+    most = F.aggregate(F.zip_with("binsu", "binsv", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
+    most = F.coalesce(most, F.least("nu", "nv"))
     return pairs.filter(most * 100 >= (F.col("nu") + F.col("nv") - most) * percent).select("u", "au", "v", "av")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of the wanted similarity."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
+    """Pairs (u, v) that share a prefix token under every further order and have the wanted similarity."""
+    names = ["a", "tokens", *[f"p{k}" for k in range(1, orders)]]
     for x in "uv":
-        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("a").alias(f"a{x}"), F.col("tokens").alias(f"t{x}")), [x, f"a{x}"])
-    common = F.size(F.array_intersect("tu", "tv"))
-    return pairs.filter(common * 100 >= (F.size("tu") + F.size("tv") - common) * percent).select("u", "v")
+        pairs = pairs.join(sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in names]), [x, f"a{x}"])
+    for k in range(1, orders):
+        pairs = pairs.filter(F.arrays_overlap(f"p{k}u", f"p{k}v"))
+    common = F.size(F.array_intersect("tokensu", "tokensv"))
+    return pairs.filter(common * 100 >= (F.size("tokensu") + F.size("tokensv") - common) * percent).select("u", "v")
 
 
 def _pair(first: str, second: str) -> list:
@@ -259,14 +265,14 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = docs.mapInArrow(body(bitmap), schema)
         return stored(found.dropDuplicates(["node", "a"]) if repeated else found, label)
 
-    lists = ", ".join(f"p{k} array<int>" for k in range(1, orders))
-    marks = scan_of(tokens, lambda b: _marks(n, percent, orders, sent, b), f"node long, a long, n int, bins array<int>, {lists}", "marks")
+    marks = scan_of(tokens, lambda b: _marks(n, sent, b), "node long, a long, n int, bins array<byte>", "marks")
+    lists = "".join(f", p{k} array<long>" for k in range(1, orders))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        possible = stored(_possible(pairs, marks, percent, orders), "possible")
+        possible = stored(_possible(pairs, marks, percent), "possible")
         ends = possible.select(F.explode(F.array("u", "v")).alias("node"))
-        sets = scan_of(ends, lambda b: _whole_sets(n, sent, b), "node long, a long, tokens array<long>", "whole")
-        return stored(_verified(possible, sets, percent), "links")
+        sets = scan_of(ends, lambda b: _whole_sets(n, percent, orders, sent, b), f"node long, a long, tokens array<long>{lists}", "whole")
+        return stored(_verified(possible, sets, percent, orders), "links")
 
     lines = [_chain(tokens, seed, percent) for seed in range(LINES)]
     edges = linked(reduce(DataFrame.union, lines).distinct())
