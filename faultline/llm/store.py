@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from faultline.session import run_dir
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write df once below the shared folder and go on from its files, so lost executors recompute nothing."""
     path = run_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

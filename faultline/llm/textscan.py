@@ -81,11 +81,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans; equal bytes have equal hashes wherever they stand."""
+    """64-bit hashes of spans of bytes or code points; equal spans have equal hashes wherever they stand."""
     if not len(starts):
         return np.empty(0, np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _powers(_BASE, len(data)), out=sums[1:])
+    each = _TABLE[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64) + np.uint64(_BASE))
+    np.cumsum(each * _powers(_BASE, len(data)), out=sums[1:])
     value = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts]
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
