@@ -8,6 +8,7 @@ are put together from those of its words. Any other kind of tokenizer encodes wh
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 
@@ -15,7 +16,9 @@ from faultline.llm.textscan import slices, span_hashes
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: words kept between slices before the table is begun anew
-KEEP_WORDS = 400_000
+KEEP_WORDS = 250_000
+#: bytes of text worked on at once
+SLICE = 1 << 20
 _CLASSES: list[np.ndarray] = []
 
 
@@ -65,6 +68,7 @@ class WordCache:
     """Ids of texts; made once in a task."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,7 +86,8 @@ class WordCache:
         self.pool = np.empty(0, np.uint32)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = (texts[i : i + 10_000] for i in range(0, len(texts), 10_000))
+        return [e.ids for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
@@ -123,6 +128,6 @@ class WordCache:
 
 def encode_slices(cache: WordCache, data: np.ndarray, offsets: np.ndarray):
     """First and end row, ids and counts for slices of bounded size."""
-    for lo, hi in slices(offsets):
+    for lo, hi in slices(offsets, SLICE):
         ids, counts = cache.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         yield lo, hi, ids, counts

@@ -3,7 +3,8 @@
 Every text becomes the set of its distinct n-grams. Under any one order of all tokens, two sets with
 Jaccard similarity t or more share a token among the first ``size - ceil(t * size) + 1`` of each. The
 orders put tokens that are frequent in the corpus last and differ in how they order the rest, so a pair
-has to pass the prefix test of each order before it is verified on its whole sets.
+has to pass the prefix test of each order before it is verified on its whole sets. The test asks not for
+one shared token but for as many as the sizes call for.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,8 +132,8 @@ def _checksum(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _marks(n: int, sent, wanted):
-    """Short signatures: the token counts in ``BINS`` hash bins, whose common part bounds the number of
-    common tokens from above. They are null where a count doesn't fit a byte."""
+    """Short signatures: the token counts in hash bins, ``BINS`` or more for larger sets, whose common part
+    bounds the number of common tokens from above. They are null where a count doesn't fit a byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, bitmap = sent.value, wanted.value
@@ -141,10 +141,12 @@ def _marks(n: int, sent, wanted):
             ids, texts = _chosen(batch, bitmap)
             for lo, hi, tokens, owner in _token_sets(texts, n):
                 t, r, _, sizes = _ordered(tokens, owner, hi - lo, 0, classes)
-                counts = np.bincount(r * BINS + (t & np.uint64(BINS - 1)).astype(np.int64), minlength=(hi - lo) * BINS)
-                fits = counts.reshape(hi - lo, BINS).max(axis=1, initial=0) < 128
-                bins = _lists(np.minimum(counts, 127).astype(np.int8), np.repeat(np.arange(hi - lo), BINS), hi - lo)
-                bins = pc.if_else(pa.array(fits), bins, pa.scalar(None, bins.type))
+                width = np.maximum(BINS, 1 << np.ceil(np.log2(np.maximum(1, sizes / 4))).astype(np.int64))
+                ends = np.cumsum(width)
+                counts = np.bincount((ends - width)[r] + (t & (width[r] - 1).astype(np.uint64)).astype(np.int64), minlength=ends[-1])
+                fits = np.maximum.reduceat(counts, ends - width) < 128
+                offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32), mask=np.append(~fits, False))
+                bins = pa.ListArray.from_arrays(offsets, pa.array(np.minimum(counts, 127).astype(np.int8)))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), pa.array(_checksum(t, sizes).view(np.int64)), pa.array(sizes.astype(np.int32)), bins], ["node", "a", "n", "bins"]
                 )
@@ -179,22 +181,40 @@ def _close(n1: str, n2: str, percent: int):
     return (F.col(n1) * 100 >= F.col(n2) * percent) & (F.col(n2) * 100 >= F.col(n1) * percent)
 
 
+def _enough(shared, n1, n2, percent: int):
+    """Whether two prefixes have so many tokens in common that the whole sets can be similar.
+
+    Of two sets, the one whose prefix ends first has no further common token inside it, so all common
+    tokens are the shared ones and at most those behind that prefix.
+    """
+    behind = F.greatest(*[F.floor((n * percent + 99) / 100) - 1 for n in (n1, n2)])
+    return (shared + behind) * (100 + percent) >= (n1 + n2) * percent
+
+
 def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Pairs whose bins allow the similarity."""
     for x in "uv":
         pairs = pairs.join(marks.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("a", "n", "bins")]), [x, f"a{x}"])
-    most = F.aggregate(F.zip_with("binsu", "binsv", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
+
+    def folded(x: str, y: str):
+        half = F.size(y)
+        fold = F.transform(F.sequence(F.lit(0), half - 1), lambda i: F.get(x, i).cast("int") + F.get(x, i + half))
+        return F.when(F.size(x) > half, fold).otherwise(F.transform(x, lambda c: c.cast("int")))
+
+    both = F.zip_with(folded("binsu", "binsv"), folded("binsv", "binsu"), lambda x, y: F.least(x, y))
+    most = F.aggregate(both, F.lit(0), lambda s, x: s + x)
     most = F.coalesce(most, F.least("nu", "nv"))
     return pairs.filter(most * 100 >= (F.col("nu") + F.col("nv") - most) * percent).select("u", "au", "v", "av")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Pairs (u, v) that share a prefix token under every further order and have the wanted similarity."""
+    """Pairs (u, v) that share enough prefix tokens under every further order and have the wanted similarity."""
     names = ["a", "tokens", *[f"p{k}" for k in range(1, orders)]]
     for x in "uv":
         pairs = pairs.join(sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in names]), [x, f"a{x}"])
     for k in range(1, orders):
-        pairs = pairs.filter(F.arrays_overlap(f"p{k}u", f"p{k}v"))
+        shared = F.size(F.array_intersect(f"p{k}u", f"p{k}v"))
+        pairs = pairs.filter(_enough(shared, F.size("tokensu"), F.size("tokensv"), percent))
     common = F.size(F.array_intersect("tokensu", "tokensv"))
     return pairs.filter(common * 100 >= (F.size("tokensu") + F.size("tokensv") - common) * percent).select("u", "v")
 
@@ -281,7 +301,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = tokens.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node"))
     side = lambda x: rows.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("a", "n", "root")])
     across = (F.col("u") > F.col("v")) & (F.col("rootu") != F.col("rootv")) & _close("nu", "nv", percent)
-    rest = side("u").join(side("v"), "token").filter(across).select("u", "au", "v", "av").distinct()
+    rest = side("u").join(side("v"), "token").filter(across).groupBy("u", "au", "nu", "v", "av", "nv").agg(F.count("*").alias("shared"))
+    rest = rest.filter(_enough(F.col("shared"), F.col("nu"), F.col("nv"), percent)).select("u", "au", "v", "av")
     edges = edges.union(linked(rest))
     roots = stored(components(edges, "u", "v"), "roots")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faultline.llm import huffman, ngramjoin, pieces, secretscan
+from faultline.llm import decontam, huffman, ngramjoin, pieces, secretscan, toxchain
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -18,6 +19,18 @@ def op1_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and item that it copies."""
+    found = decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 6))
+
+
+def op4_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document that the chain calls toxic."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxchain.toxic_documents(docs, _table(spark, sf_dir, "labels")).filter("toxic").drop("text")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_jaccard(_table(spark, sf_dir, "documents"))
 

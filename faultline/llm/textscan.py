@@ -55,10 +55,14 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every run of bytes other than space, tab, LF, VT, FF and CR."""
+#: bytes of letters and digits; every byte of a character outside ASCII counts
+WORD_BYTES = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of word bytes: any but space, tab, LF, VT, FF and CR by default."""
     inside = np.empty(len(data) + 1, bool)
-    inside[:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside[:-1] = ~((data == 32) | ((data >= 9) & (data <= 13))) if word_bytes is None else word_bytes[data]
     inside[-1] = False
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
