@@ -27,8 +27,7 @@ def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document that the chain calls toxic."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxchain.toxic_documents(docs, _table(spark, sf_dir, "labels")).filter("toxic").drop("text")
+    return toxchain.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).filter("toxic")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
