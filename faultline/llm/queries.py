@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontam, huffman, ngramjoin, pieces, secretscan, toxchain
+from faultline.llm import decontam, huffman, ibltdiff, linededup, ngramjoin, pieces, secretscan, styletree, toxchain, urltrees
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -19,6 +19,14 @@ def op1_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op2_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urltrees.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("p_block", 6).alias("p_block"))
+
+
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and item that it copies."""
     found = decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -34,6 +42,20 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_jaccard(_table(spark, sf_dir, "documents"))
 
 
+def op6_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styletree.extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ibltdiff.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text after the line dedup, and how many lines it lost."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.find_secrets(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
