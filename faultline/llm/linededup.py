@@ -64,7 +64,6 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     by_doc = places.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("pos", "k1", "k2")).alias("at"))
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid"))
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.rid") == F.col("b.rid"))
-    by_doc = F.broadcast(by_doc) if is_small(places) else by_doc
     rows = rows.alias("a").join(by_doc.alias("b"), same).select(F.split("a.text", "\n").alias("lines"), F.explode("b.at").alias("at"))
     rows = rows.select("at.k1", "at.k2", F.get("lines", F.col("at.pos")).alias("line")).dropDuplicates(["k1", "k2"])
     return rows.select("k1", "k2", F.array_distinct(shingles(F.col("line"))).alias("hashes"))

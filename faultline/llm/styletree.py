@@ -135,6 +135,10 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             continue
         if name in VOID_TAGS:
             continue
+        if name in RAW_TAGS:  # taken out without a trace; the text around stays one block
+            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+            at = end.end() if end else len(page)
+            continue
         classes, words, hidden = _named(m["attrs"] or "")
         named = hidden or bool(words & CHROME_WORDS)
         if not block and not named:
@@ -154,10 +158,6 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         chrome = parent.chrome or name in CHROME_TAGS or (named and name not in ("html", "body")) or header
         main = (parent.main or name in ("article", "main") or "main" in words and "role" in (m["attrs"] or "")) and not chrome
         stack.append(_Node(name, f"{parent.path}/{style}", chrome, main))
-        if name in RAW_TAGS:
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-            stack.pop()
     flush()
     pop_to(0)
     return blocks, seen
