@@ -27,58 +27,21 @@ PATTERNS = [
 SEVERITY = [(5.0, "critical", "[CRITICAL]"), (3.0, "severe", "[SEVERE]"), (2.0, "moderate", "[MODERATE]")]
 MILD = ("mild", "[MILD]")
 
-# fixed values: description per shape class; names in braces are filled per series
-HEAD = "The {kpi} metric for service {service} "
+#: a sentence per shape class; names in braces are filled per series
+HEAD = "{service}, {kpi}: "
+USUAL = " Usual level {base_mean} (σ {base_std}), score {score}."
 TEMPLATES = {
-    "Level shift up": HEAD
-    + "shifted upward by approximately {shift_pct}%, from a pre-shift average of {pre_mean} to a "
-    "post-shift average of {post_mean}. This sustained level shift started around {start} and "
-    "persisted for at least {minutes} minutes. The historical mean was {base_mean} (σ: {base_std}), "
-    "deviation score: {score}.",
-    "Level shift down": HEAD
-    + "shifted downward by approximately {shift_pct}%, from a pre-shift average of {pre_mean} to a "
-    "post-shift average of {post_mean}. This sustained level drop started around {start} and "
-    "persisted for at least {minutes} minutes. The historical mean was {base_mean} (σ: {base_std}), "
-    "deviation score: {score}.",
-    "Steady increase": HEAD
-    + "showed a steady upward trend, increasing by {trend_pct}% from {first} to {last} over a "
-    "{minutes}-minute period starting at {start}. The peak value was {vmax}, reaching approximately "
-    "{n_sigma}σ above the historical mean ({base_mean}). Deviation score: {score}.",
-    "Steady decrease": HEAD
-    + "showed a steady downward trend, decreasing by {trend_pct}% from {first} to {last} over a "
-    "{minutes}-minute period starting at {start}. The lowest value was {vmin}, approximately "
-    "{n_sigma}σ below the historical mean ({base_mean}). Deviation score: {score}.",
-    "Single spike": HEAD
-    + "exhibited a sudden spike reaching {vmax}, which is approximately {n_sigma}σ above the "
-    "historical mean of {base_mean}. The spike occurred around {start}, rising sharply from {first} "
-    "and returning to normal levels within approximately {minutes} minutes.",
-    "Single dip": HEAD
-    + "exhibited a sudden dip to {vmin}, which is approximately {n_sigma}σ below the historical mean "
-    "of {base_mean}. The dip occurred around {start}, dropping from {first} and recovering within "
-    "approximately {minutes} minutes.",
-    "Transient level shift up": HEAD
-    + "exhibited a transient upward level shift, temporarily rising from {first} to a peak of {vmax} "
-    "around {start}, before partially recovering. The peak was approximately {n_sigma}σ above the "
-    "historical mean ({base_mean}, σ: {base_std}). Duration: approximately {minutes} minutes. "
-    "Deviation score: {score}.",
-    "Transient level shift down": HEAD
-    + "exhibited a transient downward level shift, temporarily dropping from {first} to {vmin} around "
-    "{start}, before partially recovering. The dip was approximately {n_sigma}σ below the historical "
-    "mean ({base_mean}, σ: {base_std}). Duration: approximately {minutes} minutes. Deviation score: "
-    "{score}.",
-    "Multiple spikes": HEAD
-    + "displayed {peaks} repeated spikes over a {minutes}-minute period starting at {start}. Peak "
-    "values reached {vmax} (mean: {base_mean}, σ: {base_std}), suggesting intermittent load bursts or "
-    "resource contention. The overall deviation score is {score}.",
-    "Multiple dips": HEAD
-    + "displayed {dips} repeated dips over a {minutes}-minute period starting at {start}. The lowest "
-    "value reached {vmin} (mean: {base_mean}, σ: {base_std}), suggesting intermittent service "
-    "degradation or resource starvation. The overall deviation score is {score}.",
-    "Fluctuations": HEAD
-    + "displayed irregular fluctuations over a {minutes}-minute period starting at {start}. The metric "
-    "oscillated between {vmin} and {vmax} (range: {vrange}, coefficient of variation: {cv}). "
-    "Historical mean: {base_mean}, σ: {base_std}. Deviation score: {score}. This volatile behavior may "
-    "indicate unstable resource allocation or oscillating load.",
+    "Level shift up": HEAD + "since {start} the level is {shift_pct}% higher, {post_mean} after {pre_mean}, for {minutes} min so far." + USUAL,
+    "Level shift down": HEAD + "since {start} the level is {shift_pct}% lower, {post_mean} after {pre_mean}, for {minutes} min so far." + USUAL,
+    "Steady increase": HEAD + "climbs from {first} to {last} (+{trend_pct}%) in {minutes} min from {start} on; top {vmax}, {n_sigma}σ over {base_mean}, score {score}.",
+    "Steady decrease": HEAD + "sinks from {first} to {last} (-{trend_pct}%) in {minutes} min from {start} on; bottom {vmin}, {n_sigma}σ under {base_mean}, score {score}.",
+    "Single spike": HEAD + "one peak of {vmax} near {start}, {n_sigma}σ over {base_mean}; it began at {first} and was over in {minutes} min.",
+    "Single dip": HEAD + "one low of {vmin} near {start}, {n_sigma}σ under {base_mean}; it began at {first} and was over in {minutes} min.",
+    "Transient level shift up": HEAD + "went from {first} up to {vmax} near {start} and came back in part within {minutes} min, {n_sigma}σ at most." + USUAL,
+    "Transient level shift down": HEAD + "went from {first} down to {vmin} near {start} and came back in part within {minutes} min, {n_sigma}σ at most." + USUAL,
+    "Multiple spikes": HEAD + "{peaks} peaks in {minutes} min from {start} on, the highest {vmax}; load may come in bursts." + USUAL,
+    "Multiple dips": HEAD + "{dips} lows in {minutes} min from {start} on, the deepest {vmin}; the service may be starved at times." + USUAL,
+    "Fluctuations": HEAD + "moves between {vmin} and {vmax} (span {vrange}, variation {cv}) for {minutes} min from {start} on, without a pattern." + USUAL,
 }
 TAIL = " Severity: {tag}."
 

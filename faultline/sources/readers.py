@@ -108,9 +108,11 @@ def metric_index(files: DataFrame) -> DataFrame:
 def metric_sheet(spark: SparkSession, path) -> DataFrame:
     """One row per metric, one column per time: returned as (metric, t, value)."""
     wide = spark.read.option("header", True).csv(path)
-    steps = [c for c in wide.columns if c != wide.columns[0]]
-    cells = F.array(*[F.col(f"`{c}`").cast("double") for c in steps])
-    return wide.select(F.col(wide.columns[0]).alias("metric"), F.posexplode(cells).alias("t", "value"))
+    steps = wide.columns[1:]
+    number = [int(c) if c.isdigit() else i for i, c in enumerate(steps)]
+    cells = [F.struct(F.lit(t).alias("t"), F.col(f"`{c}`").cast("double").alias("value")) for t, c in zip(number, steps, strict=True)]
+    cells = F.array(*cells) if cells else F.array().cast("array<struct<t:int,value:double>>")
+    return wide.select(F.col(wide.columns[0]).alias("metric"), F.explode(cells).alias("c")).select("metric", "c.t", "c.value")
 
 
 def logs(spark: SparkSession, directory: str, start: int | None = None, end: int | None = None) -> DataFrame:

@@ -138,7 +138,6 @@ def test_descriptions_name_their_facts(spark):
     r = patterns.describe(patterns.deviation_scores(shape)).collect()[0]
     assert r["score"] == 7.13 and r["severity"] == "critical"
     assert r["description"] == (
-        "The cpu metric for service svc1 exhibited a sudden spike reaching 30.0000, which is approximately "
-        "14.3σ above the historical mean of 1.5000. The spike occurred around 2021-07-01 10:00:00, rising "
-        "sharply from 1.0000 and returning to normal levels within approximately 15 minutes. Severity: [CRITICAL]."
+        "svc1, cpu: one peak of 30.0000 near 2021-07-01 10:00:00, 14.3σ over 1.5000; it began at 1.0000 "
+        "and was over in 15 min. Severity: [CRITICAL]."
     )
