@@ -32,7 +32,7 @@ def shingles(line: Column) -> Column:
 def _least(hashes: Column, k: int) -> Column:
     """The k-th min-hash: the least of all hashes, their bits flipped by a fixed pattern."""
     pattern = F.lit((0x5851F42D4C957F2D * (k + 1) ^ (0x14057B7EF767814F * (k + 7) >> 3)) % (1 << 64) - (1 << 63))
-    return F.aggregate(hashes, F.lit((1 << 63) - 1), lambda a, x: F.least(a, x.bitwiseXOR(pattern)))
+    return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(pattern)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -121,6 +121,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(text_col).cast("string")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_d_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_d_rid"))
     out = docs.join(gone, same, "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_d_gone", i)), "\n")
+    out = out.withColumn("_d_lines", F.when(F.col("_d_gone").isNotNull(), F.split(text, "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_d_lines") - 1), "_d_gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get("_d_lines", i)), "\n")
     out = out.withColumn(text_col, F.when(F.col("_d_gone").isNull(), text).otherwise(kept))
-    return out.withColumn("n_dropped", F.coalesce(F.size("_d_gone"), F.lit(0))).drop("_d_id", "_d_rid", "_d_gone")
+    return out.withColumn("n_dropped", F.coalesce(F.size("_d_gone"), F.lit(0))).drop("_d_id", "_d_rid", "_d_gone", "_d_lines")
