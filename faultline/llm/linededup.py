@@ -14,7 +14,7 @@ from faultline.llm.store import stored
 from faultline.operators.scale import is_small
 
 SHINGLE, STRIDE = 10, 8
-#: bands of two values each; lines of similarity 0.8 meet in one with probability 0.998
+#: bands of two values each, at most six rotations of 64 bits; lines of similarity 0.8 meet in one with probability 0.998
 BANDS = 6
 #: lines under this many characters are never duplicates
 MIN_CHARS = 20
@@ -29,10 +29,12 @@ def shingles(line: Column) -> Column:
     return F.transform(found, lambda s: F.xxhash64(s))
 
 
-def _least(hashes: Column, k: int) -> Column:
-    """The k-th min-hash: the least of all hashes, their bits flipped by a fixed pattern."""
-    pattern = F.lit((0x5851F42D4C957F2D * (k + 1) ^ (0x14057B7EF767814F * (k + 7) >> 3)) % (1 << 64) - (1 << 63))
-    return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(pattern)))
+def _turned(hashes: Column, k: int) -> Column:
+    """The hashes rotated by 11 k bits: each rotation orders them by other bits, and its least and its
+    greatest hash are two min-hashes that do not depend on those of another one."""
+    if k == 0:
+        return hashes
+    return F.transform(hashes, lambda x: F.shiftleft(x, 11 * k).bitwiseOR(F.shiftrightunsigned(x, 64 - 11 * k)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -74,7 +76,8 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     (doc_id, pos). ``rid`` is a hash of the text, so rows that share an id are told apart by their text."""
     lines = _lines(docs)
     hashed = lines.withColumn("h", shingles(F.col("line"))).drop("line")
-    bands = {f"b{i}": F.xxhash64(F.lit(i), _least(F.col("h"), 2 * i), _least(F.col("h"), 2 * i + 1)) for i in range(BANDS)}
+    hashed = hashed.withColumns({f"h{i}": _turned(F.col("h"), i) for i in range(BANDS)})
+    bands = {f"b{i}": F.xxhash64(F.lit(i), F.array_min(f"h{i}"), F.array_max(f"h{i}")) for i in range(BANDS)}
     place = F.struct("doc_id", "pos", "rid")
     texts = hashed.withColumns(bands).groupBy("k1", "k2")
     texts = texts.agg(F.min(place).alias("place"), F.count("*").alias("copies"), *[F.min(b).alias(b) for b in bands])
