@@ -31,7 +31,7 @@ def shingles(line: Column) -> Column:
 
 def _turned(hashes: Column, k: int) -> Column:
     """The hashes rotated by 11 k bits: each rotation orders them by other bits, and its least and its
-    greatest hash are two min-hashes that do not depend on those of another one."""
+    greatest hash are two min-hashes nearly independent of those of the others."""
     if k == 0:
         return hashes
     return F.transform(hashes, lambda x: F.shiftleft(x, 11 * k).bitwiseOR(F.shiftrightunsigned(x, 64 - 11 * k)))
