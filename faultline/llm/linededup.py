@@ -24,17 +24,16 @@ ROW = 1000
 
 
 def shingles(line: Column) -> Column:
-    """Hashes of the line's character shingles."""
-    found = F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S{{1,{STRIDE}}}\s*"), F.lit(1))
-    return F.transform(found, lambda s: F.xxhash64(s))
+    """The line's character shingles."""
+    return F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S{{1,{STRIDE}}}\s*"), F.lit(1))
 
 
-def _turned(hashes: Column, k: int) -> Column:
-    """The hashes rotated by 11 k bits: each rotation orders them by other bits, and its least and its
-    greatest hash are two min-hashes nearly independent of those of the others."""
+def _turned(x: Column, k: int) -> Column:
+    """The hash rotated by 11 k bits: each rotation orders hashes by other bits, and a line's least and
+    greatest hash in it are two min-hashes nearly independent of those of the others."""
     if k == 0:
-        return hashes
-    return F.transform(hashes, lambda x: F.shiftleft(x, 11 * k).bitwiseOR(F.shiftrightunsigned(x, 64 - 11 * k)))
+        return x
+    return F.shiftleft(x, 11 * k).bitwiseOR(F.shiftrightunsigned(x, 64 - 11 * k))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -68,19 +67,22 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.rid") == F.col("b.rid"))
     rows = rows.alias("a").join(by_doc.alias("b"), same).select(F.split("a.text", "\n").alias("lines"), F.explode("b.at").alias("at"))
     rows = rows.select("at.k1", "at.k2", F.get("lines", F.col("at.pos")).alias("line")).dropDuplicates(["k1", "k2"])
-    return rows.select("k1", "k2", F.array_distinct(shingles(F.col("line"))).alias("hashes"))
+    return rows.select("k1", "k2", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("hashes"))
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, pos): the lines to drop. Of every component of alike lines one stays, at the smallest
     (doc_id, pos). ``rid`` is a hash of the text, so rows that share an id are told apart by their text."""
     lines = _lines(docs)
-    hashed = lines.withColumn("h", shingles(F.col("line"))).drop("line")
-    hashed = hashed.withColumns({f"h{i}": _turned(F.col("h"), i) for i in range(BANDS)})
-    bands = {f"b{i}": F.xxhash64(F.lit(i), F.array_min(f"h{i}"), F.array_max(f"h{i}")) for i in range(BANDS)}
     place = F.struct("doc_id", "pos", "rid")
-    texts = hashed.withColumns(bands).groupBy("k1", "k2")
-    texts = texts.agg(F.min(place).alias("place"), F.count("*").alias("copies"), *[F.min(b).alias(b) for b in bands])
+    places = lines.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.count("*").alias("copies"))
+    # one row per shingle, combined in the task that made it: minima of longs stay in generated code
+    spread = lines.select("k1", "k2", F.explode_outer(shingles(F.col("line"))).alias("s"))
+    spread = spread.withColumn("s", F.when(F.col("s").isNotNull(), F.xxhash64("s")))
+    ends = [f(_turned(F.col("s"), i)).alias(f"{f.__name__}{i}") for i in range(BANDS) for f in (F.min, F.max)]
+    bands = {f"b{i}": F.xxhash64(F.lit(i), f"min{i}", f"max{i}") for i in range(BANDS)}
+    signed = spread.groupBy("k1", "k2").agg(*ends).select("k1", "k2", *[b.alias(k) for k, b in bands.items()])
+    texts = places.join(signed, ["k1", "k2"])
     texts = stored(texts, "lines")
 
     rows = texts.select("k1", F.explode(F.array(*bands)).alias("band"))
