@@ -145,6 +145,23 @@ def global_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx"
     )
 
 
+def series_index(
+    df: DataFrame, keys: Sequence[str], position: str, name: str, block: int = 1 << 24
+) -> DataFrame:
+    """Number the rows of every key 0, 1, 2, ... along ``position``, whose values are distinct in a key.
+
+    A long series is numbered inside blocks of positions; each block's count, one row, gives the offset
+    of the next ones.
+    """
+    rows = df.withColumn("_block", F.floor(F.col(position) / block).cast("long"))
+    counts = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(position)) - 1
+    rows = rows.withColumn("_inside", inside).join(offsets, [*keys, "_block"])
+    return rows.withColumn(name, F.col("_inside") + F.col("_offset")).drop("_block", "_inside", "_offset")
+
+
 def running_last(
     df: DataFrame,
     keys: Sequence[str],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.operators.scale import interval_join, lookup_join, running_last
+from faultline.operators.scale import interval_join, lookup_join, running_last, series_index
 
 DAY = 86_400
 
@@ -98,37 +98,27 @@ def point_windows(
     points: DataFrame,
     incidents: DataFrame,
     series: Sequence[str],
-    reach: int,
     size: int = WINDOW_POINTS,
 ) -> DataFrame:
     """``size`` consecutive points of every series around each fault, numbered k = 0, 1, ...
 
-    Half of them lie before the point nearest to the fault; at the ends of the data the window is
-    shifted inwards, and a series with fewer points is left out. Points further than ``reach``
-    seconds away are never looked at, which bounds every (incident, series) group.
+    Half of them lie before the point nearest to the fault, however far it is (``nearest_pos``, counted
+    from 0 in the whole series); at the ends of the data the window is shifted inwards, and a series
+    with fewer points is left out. Every series' points are numbered once; windows then pick
+    positions by an equi join. Incidents times series is a ``size``-th of the result.
     """
-    windows = incidents.select(
-        "incident_id",
-        "fault_ts",
-        (F.col("fault_ts") - reach).alias("win_start"),
-        (F.col("fault_ts") + reach).alias("win_end"),
-    )
-    keys = ["incident_id", *series]
-    near = interval_join(
-        points.dropDuplicates([*series, "ts"]), windows, "ts", "win_start", "win_end", 2 * reach
-    ).drop("win_start", "win_end")
-    whole = Window.partitionBy(*keys)
-    pos = F.row_number().over(whole.orderBy("ts")) - 1
-    marked = near.withColumn("_pos", pos).withColumn("_n", F.count("*").over(whole))
-    mid = F.min(F.struct(F.abs(F.col("ts") - F.col("fault_ts")), F.col("_pos"))).over(whole)["_pos"]
-    marked = marked.withColumn("_mid", mid)
-    start = F.greatest(F.least(F.col("_mid") - size // 2, F.col("_n") - size), F.lit(0))
-    return (
-        marked.withColumn("k", (F.col("_pos") - start).cast("long"))
-        .filter((F.col("_n") >= size) & (F.col("k") >= 0) & (F.col("k") < size))
-        .withColumn("nearest_pos", F.col("_mid").cast("long"))
-        .drop("_pos", "_n", "_mid")
-    )
+    keys = list(series)
+    numbered = series_index(points.dropDuplicates([*keys, "ts"]), keys, "ts", "_pos")
+    sizes = numbered.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= size)
+    wanted = incidents.select("incident_id", "fault_ts").crossJoin(sizes)
+    marks = numbered.select(*keys, "ts", F.col("_pos").alias("nearest_pos"))
+    found = nearest_join(wanted, marks, "fault_ts", "ts", "nearest_pos", keys).drop("distance")
+    start = F.greatest(F.least(F.col("nearest_pos") - size // 2, F.col("_n") - size), F.lit(0))
+    places = found.select(
+        "incident_id", "fault_ts", *keys, "nearest_pos", start.alias("_start"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))).alias("k"),
+    ).withColumn("_pos", F.col("_start") + F.col("k"))
+    return numbered.join(places, [*keys, "_pos"]).drop("_pos", "_start")
 
 
 def baseline(

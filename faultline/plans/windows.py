@@ -10,8 +10,6 @@ from faultline.operators import windows as win
 from faultline.plans.registry import query
 from faultline.sources.telemetry import EPOCH, METRIC_STEP, Telemetry
 
-REACH = 40 * METRIC_STEP
-
 
 def metric_points(t: Telemetry):
     return t.metrics.withColumn("ts", F.col("t") * METRIC_STEP + EPOCH)
@@ -20,21 +18,20 @@ def metric_points(t: Telemetry):
 def metric_windows(t: Telemetry):
     """30 points of every metric around each fault; several steps of one query read them."""
     if not hasattr(t, "metric_windows"):
-        t.metric_windows = win.point_windows(metric_points(t), t.incidents, ["metric"], REACH).persist()
+        t.metric_windows = win.point_windows(metric_points(t), t.incidents, ["metric"]).persist()
     return t.metric_windows
 
 
 # 30 points of every metric around each fault, shared by later queries
 MW = f"""
-pts AS (SELECT *, t * {METRIC_STEP} + {EPOCH} AS ts FROM metrics),
-near AS (SELECT i.incident_id, i.fault_ts, p.metric, p.service, p.kpi, p.t, p.ts, p.value,
-    row_number() OVER (PARTITION BY i.incident_id, p.metric ORDER BY p.ts) - 1 AS pos,
-    count(*) OVER (PARTITION BY i.incident_id, p.metric) AS n
-  FROM pts p JOIN incidents i ON p.ts >= i.fault_ts - {REACH} AND p.ts <= i.fault_ts + {REACH}),
-mids AS (SELECT incident_id, metric, arg_min(pos, abs(ts - fault_ts) * 1000 + pos) AS mid FROM near GROUP BY ALL),
-mw AS (SELECT * FROM (SELECT near.*, mid AS nearest_pos,
-    CAST(pos - greatest(least(mid - 15, n - 30), 0) AS BIGINT) AS k FROM near JOIN mids USING (incident_id, metric))
-  WHERE n >= 30 AND k >= 0 AND k < 30)
+pts AS (SELECT *, t * {METRIC_STEP} + {EPOCH} AS ts, row_number() OVER (PARTITION BY metric ORDER BY t) - 1 AS pos,
+    count(*) OVER (PARTITION BY metric) AS n FROM metrics),
+mids AS (SELECT incident_id, fault_ts, metric, min(n) AS n, arg_min(pos, {{'d': abs(ts - fault_ts), 'p': pos}}) AS mid
+  FROM incidents, pts GROUP BY ALL),
+mw AS (SELECT m.incident_id, m.fault_ts, p.metric, p.service, p.kpi, p.t, p.ts, p.value, m.mid AS nearest_pos,
+    CAST(p.pos - greatest(least(m.mid - 15, m.n - 30), 0) AS BIGINT) AS k
+  FROM mids m JOIN pts p ON p.metric = m.metric WHERE m.n >= 30
+    AND p.pos BETWEEN greatest(least(m.mid - 15, m.n - 30), 0) AND greatest(least(m.mid - 15, m.n - 30), 0) + 29)
 """
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from faultline.operators import scale
-from faultline.operators.windows import nearest_join
+from faultline.operators.windows import nearest_join, point_windows
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +117,24 @@ def test_nearest_join(spark):
         near = sorted((abs(r - ts), r, n) for kk, r, n in right if kk == k and abs(r - ts) <= 12)
         want[i] = (near[0][2], near[0][0]) if near else (None, None)
     assert {r["id"]: (r["name"], r["distance"]) for r in got.collect()} == want
+
+
+def test_point_windows_go_by_position_however_sparse(spark):
+    day = 86_400
+    data = [("daily", i * day, float(i)) for i in range(60)] + [("short", i * day, 0.0) for i in range(29)]
+    points = spark.createDataFrame(data, "metric string, ts long, value double")
+    faults = [(1, 40 * day + 5), (2, -9 * day), (3, 900 * day)]
+    incidents = spark.createDataFrame(faults, "incident_id long, fault_ts long")
+    found = point_windows(points, incidents, ["metric"]).select("incident_id", "metric", "k", "value", "nearest_pos")
+    firsts = {1: (25, 40), 2: (0, 0), 3: (30, 59)}
+    want = [(i, "daily", k, float(at + k), mid) for i, (at, mid) in firsts.items() for k in range(30)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 24])
+def test_series_index_counts_over_blocks(spark, block):
+    random.seed(3)
+    data = [(k, ts) for k in "abc" for ts in random.sample(range(-500, 500), 40)]
+    got = scale.series_index(spark.createDataFrame(data, "k string, ts long"), ["k"], "ts", "pos", block)
+    want = [(k, ts, i) for k in "abc" for i, ts in enumerate(sorted(t for x, t in data if x == k))]
+    assert sorted(map(tuple, got.select("k", "ts", "pos").collect())) == want
