@@ -1,5 +1,8 @@
 """Near-duplicate lines: MinHash of character shingles, banding, exact verification, union-find.
 
+In every bucket of a band, lines are first held against a few neighbours, then against those of shuffled
+orders. All pairs of buckets that still hold more than one component are found by an exact prefix join.
+
 Everything here is DataFrame expressions. A line's shingles are the ``SHINGLE`` characters from every
 word start on, and from every ``STRIDE``-th character inside longer words, lower-cased.
 """
@@ -21,6 +24,8 @@ MIN_CHARS = 20
 PERCENT = 80
 #: lines of one bucket that stand in one row of neighbours
 ROW = 1000
+#: rounds, and shuffled orders of a round, in which lines of different components meet neighbours before all pairs are sought
+ROUNDS, ORDERS = 2, 3
 
 
 def shingles(line: Column) -> Column:
@@ -70,6 +75,70 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return rows.select("k1", "k2", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("hashes"))
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(uk, vk): the pairs (u, v) of keys whose sets are alike."""
+    for x in "uv":
+        pairs = pairs.join(sets.select(F.col("k1").alias(x), F.struct("k1", "k2").alias(f"{x}k"), F.col("hashes").alias(f"{x}h")), x)
+    common = F.size(F.array_intersect("uh", "vh"))
+    return pairs.filter(common * 100 >= (F.size("uh") + F.size("vh") - common) * PERCENT).select("uk", "vk")
+
+
+def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(k1, band, n, root) of the buckets that hold more than one component."""
+    known = roots.groupBy(F.col("node.k1").alias("k1")).agg(F.min("root.k1").alias("root"))
+    rows = buckets.select("k1", "band", "n").join(known, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    several = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    return stored(rows.join(several, "band"), "mixed")
+
+
+def _shuffled(mixed: DataFrame, seed: int) -> DataFrame:
+    """Pairs of keys in different components that are neighbours when the lines of a bucket are shuffled. A
+    large bucket is dealt into parts, others in every order."""
+    orders = F.array(*[F.lit(seed * ORDERS + i) for i in range(ORDERS)])
+    rows = mixed.withColumn("order", F.explode(orders))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("k1", "order"), F.ceil(F.col("n") / ROW)))
+    w = Window.partitionBy("band", "order", "part").orderBy(F.xxhash64("k1", "band", "order"), "k1")
+    rows = rows.select("k1", "root", F.lag("k1").over(w).alias("other"), F.lag("root").over(w).alias("root2")).filter("root <> root2")
+    return rows.select(F.greatest("k1", "other").alias("u"), F.least("k1", "other").alias("v")).distinct()
+
+
+def _across(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of keys in different components that can be alike, of all lines in buckets with several components.
+
+    Shingles are ordered by how many of these lines have them, the rarest first. Of two alike sets, the first
+    ``size - ceil(2t / (1 + t) size) + 1`` shingles of the smaller and the first ``size - ceil(t size) + 1`` of
+    the larger have one in common. A template's shingles come last, so lines that share only the
+    template do not meet, however many they are.
+    """
+    left = mixed.select("k1", "root").distinct()
+    spread = sets.join(left, "k1").select("k1", "k2", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("s"))
+    counts = spread.groupBy("s").agg(F.count("*").alias("c"))
+    ranked = spread.join(counts, "s").groupBy("k1", "k2", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("order"))
+    size = F.col("n")
+    short = (size - F.ceil(size * (2 * PERCENT) / (100 + PERCENT)) + 1).cast("int")
+    long = (size - F.ceil(size * PERCENT / 100) + 1).cast("int")
+    ranked = ranked.select("k1", "root", "n", short.alias("short"), long.alias("long"), "order")
+    prefix = ranked.select("k1", "root", "n", "short", "long", F.posexplode(F.slice("order", F.lit(1), F.col("long"))).alias("rank", "x"))
+    prefix = stored(prefix.filter("x.c > 1").select("k1", "root", "n", "short", "long", "rank", F.col("x.s").alias("s")), "prefixes")
+    side = lambda x: prefix.select("s", *[F.col(c).alias(f"{c}{x}") for c in ("k1", "root", "n", "short", "long", "rank")])
+    ordered = (F.col("nu") < F.col("nv")) | (F.col("nu") == F.col("nv")) & (F.col("k1u") < F.col("k1v"))
+    met = side("u").filter("ranku < shortu").join(side("v"), "s")
+    met = met.filter(ordered & (F.col("rootu") != F.col("rootv")) & (F.col("nu") * 100 >= F.col("nv") * PERCENT))
+    met = met.groupBy("k1u", "nu", "shortu", "k1v", "nv", "longv").agg(F.count("*").alias("shared"))
+    # behind the prefix that ends first, no common shingle is missed by the count
+    most = F.col("shared") + F.greatest(F.col("nu") - F.col("shortu"), F.col("nv") - F.col("longv"))
+    met = met.filter(most * (100 + PERCENT) >= (F.col("nu") + F.col("nv")) * PERCENT)
+    # a place that only one of two bitmaps has stands for a shingle that only that line has
+    maps = [f"aggregate(hashes, 0L, (a, h) -> a | if(pmod(h, 4) = {i}, shiftleft(1L, cast(pmod(shiftright(h, 2), 64) as int)), 0L))" for i in range(4)]
+    marks = sets.join(left.select("k1"), "k1").select("k1", *[F.expr(m).alias(f"m{i}") for i, m in enumerate(maps)])
+    for x in "uv":
+        met = met.join(marks.select(F.col("k1").alias(f"k1{x}"), *[F.col(f"m{i}").alias(f"m{i}{x}") for i in range(4)]), f"k1{x}")
+    only = lambda x, y: sum(F.bit_count(F.col(f"m{i}{x}").bitwiseAND(F.bitwise_not(f"m{i}{y}"))) for i in range(4))
+    most = F.least(F.col("nu") - only("u", "v"), F.col("nv") - only("v", "u"))
+    met = met.filter(most * (100 + PERCENT) >= (F.col("nu") + F.col("nv")) * PERCENT)
+    return met.select(F.greatest("k1u", "k1v").alias("u"), F.least("k1u", "k1v").alias("v")).distinct()
+
+
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, pos): the lines to drop. Of every component of alike lines one stays, at the smallest
     (doc_id, pos). ``rid`` is a hash of the text, so rows that share an id are told apart by their text."""
@@ -93,13 +162,20 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     ends = pairs.select(F.explode(F.array("u", "v")).alias("k1")).distinct()
     places = stored(texts.join(ends, "k1").select("place.*", "k1", "k2"), "places")
     sets = stored(_texts(docs, places), "sets")
-    both = pairs
-    for x in "uv":
-        both = both.join(sets.select(F.col("k1").alias(x), F.struct("k1", "k2").alias(f"{x}k"), F.col("hashes").alias(f"{x}h")), x)
-    common = F.size(F.array_intersect("uh", "vh"))
-    alike = both.filter(common * 100 >= (F.size("uh") + F.size("vh") - common) * PERCENT).select("uk", "vk")
+    alike = stored(_verified(pairs, sets), "alike")
     roots = stored(components(alike, "uk", "vk"), "roots")
 
+    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+        return stored(components(roots.select("node", "root").union(links), "node", "root"), "roots")
+
+    for seed in range(ROUNDS):
+        links = stored(_verified(_shuffled(_mixed(buckets, roots), seed), sets), "links")
+        if links.isEmpty():
+            break
+        roots = joined(roots, links)
+    links = stored(_verified(stored(_across(_mixed(buckets, roots), sets), "across"), sets), "links")
+    roots = roots if links.isEmpty() else joined(roots, links)
+
     groups = texts.select(F.struct("k1", "k2").alias("node"), "place", "copies").join(roots, "node", "left")
     groups = groups.withColumn("root", F.coalesce("root", "node"))
     best = groups.groupBy("root").agg(F.min("place").alias("best"), F.sum("copies").alias("copies")).filter("copies > 1")

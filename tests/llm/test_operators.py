@@ -235,6 +235,38 @@ def test_fuzzy_lines(spark):
     assert got == {1: rows[0][1], 2: "y", 3: rows[2][1], 4: "short", 5: "short"}
 
 
+def _dropped(lines):
+    """The lines that are not the first of their component, of all pairs of lines."""
+    sets = [{t[k : k + 10] for k in range(max(1, len(t) - 9))} for t in lines]
+    root = list(range(len(lines)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if common * 100 >= (len(a) + len(sets[j]) - common) * 80:
+                low, high = sorted((top(i), top(j)))
+                root[high] = low
+    return {i for i in range(len(lines)) if top(i) != i}
+
+
+@pytest.mark.parametrize("families", [300, 560])
+def test_template_lines(spark, families):
+    template = prose(300, 40)
+    lines = []
+    for i in range(families):  # strangers share the template, the lines of a family all but one word
+        own = prose(1000 + i, 9).split()
+        lines += [f"{template} {' '.join(own)}", f"{template} {' '.join([*own[:4], 'changed', *own[5:]])}"]
+    random.Random(1).shuffle(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id for r in linededup.dedup_lines(df).collect() if r.n_dropped}
+    assert got == _dropped(lines) and len(got) == families
+
+
 def test_secrets(spark, nothing):
     digest = hashlib.sha1(b"x").hexdigest()
     key = "zQ7xK9vB2mW5tR8yP3nL"
