@@ -43,6 +43,8 @@ CHROME_WORDS = frozenset(
 )
 #: words that name a page's header; inside the article a header holds the article's own title
 HEADER_WORDS = frozenset(("header", "heading-bar", "site-header"))
+#: classes that tell what a page has or lacks, such as no-sidebar or comments-open, name no part
+STATE = re.compile(r"(?:no|not|non|has|have|with|without)[-_].*|.*[-_](?:open|closed|enabled|disabled|off)")
 #: an opening tag that ends an open element of the same group
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 TOKEN = re.compile(
@@ -59,6 +61,11 @@ class _Node:
     path: str
     chrome: bool
     main: bool
+    kept: bool = False
+    hard: bool = False
+    #: the text before an inline element, and how many elements of its name are open in it
+    held: list[str] = field(default_factory=list)
+    nested: int = 0
     children: list[str] = field(default_factory=list)
 
 
@@ -68,6 +75,8 @@ class Block:
     chrome: bool
     main: bool
     text: str
+    #: inside an article or main element, if only names above it speak against it
+    kept: bool = False
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -85,6 +94,7 @@ def _named(raw: str) -> tuple[str, set[str], bool]:
     attrs = _attributes(raw)
     classes = ".".join(sorted(set(attrs.get("class", "").lower().split())))
     names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()
+    names = " ".join(x for x in names.split() if not STATE.fullmatch(x))
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
     return classes, set(re.findall(r"[a-z0-9]+", names)), hidden
 
@@ -101,11 +111,13 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             pieces.clear()
             node = stack[-1]
             if text:
-                blocks.append(Block(node.path, node.chrome, node.main, text))
+                blocks.append(Block(node.path, node.chrome, node.main, text, node.kept))
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
+            flush()
             node = stack.pop()
+            pieces.extend(node.held)
             seen.append((node.path, " ".join(dict.fromkeys(node.children))))
 
     while True:
@@ -129,6 +141,11 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
                     pop_to(depth)
             elif name in ("br", "hr"):
                 pieces.append(" ")
+            elif depth := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0):
+                if stack[depth].nested:
+                    stack[depth].nested -= 1
+                else:
+                    pop_to(depth)
             continue
         if name in ("br", "hr", "img", "wbr"):
             pieces.append("" if name == "wbr" else " ")
@@ -142,8 +159,12 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         classes, words, hidden = _named(m["attrs"] or "")
         named = hidden or bool(words & CHROME_WORDS)
         if not block and not named:
+            open_one = next((x for x in reversed(stack) if x.tag == name), None)
+            if open_one:
+                open_one.nested += 1
             continue
-        flush()
+        if block:
+            flush()
         if name in BLOCKS:
             top = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
             if top and name not in ("html", "body"):
@@ -154,10 +175,16 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         parent = stack[-1]
         style = f"{name}.{classes}" if classes else name
         parent.children.append(style)
-        header = (name == "header" or bool(words & HEADER_WORDS)) and not parent.main
+        header = (name == "header" or bool(words & HEADER_WORDS)) and not (parent.main or parent.kept)
         chrome = parent.chrome or name in CHROME_TAGS or (named and name not in ("html", "body")) or header
         main = (parent.main or name in ("article", "main") or "main" in words and "role" in (m["attrs"] or "")) and not chrome
-        stack.append(_Node(name, f"{parent.path}/{style}", chrome, main))
+        hard = parent.hard or name in CHROME_TAGS or header or (hidden and name not in ("html", "body"))
+        marked = name in ("article", "main") or "main" in words and "role" in (m["attrs"] or "")
+        kept = not hard and (marked or parent.kept and not named)
+        held = [] if block else pieces[:]
+        if held:
+            pieces.clear()
+        stack.append(_Node(name, f"{parent.path}/{style}", chrome, main, kept, hard, held))
     flush()
     pop_to(0)
     return blocks, seen
@@ -167,13 +194,17 @@ def main_text(page: str, unimportant: frozenset[str] | set[str] = frozenset()) -
     """The article's blocks, joined by an empty line.
 
     Where a page marks an article, only that is looked at, and only named parts are taken out of it; elsewhere
-    the branches whose path is unimportant go as well.
+    the branches whose path is unimportant go as well. An article inside a part named as something else counts
+    if there is no other and it is longer than what the rest of the page leaves.
     """
     blocks, _ = parse(page)
     own = [b for b in blocks if b.main and not b.chrome]
     if not own:
         branch = lambda path: any(path == u or path.startswith(u + "/") for u in unimportant)
         own = [b for b in blocks if not b.chrome and not branch(b.path)]
+        kept = [b for b in blocks if b.kept]
+        if sum(len(b.text) for b in kept) > sum(len(b.text) for b in own):
+            own = kept
     return "\n\n".join(b.text for b in own)
 
 

@@ -201,6 +201,22 @@ def test_main_text(spark):
     assert styletree.extract(pages.limit(0)).isEmpty()
 
 
+def test_named_inline_elements_end():
+    text = lambda body: styletree.main_text(f"<body>{body}</body>")
+    assert text('<a class="skip-link">Skip</a><article><p>One</p></article>') == "One"
+    assert text('<article><p>A <span class="share">x</span> B</p><p>C</p></article>') == "A B\n\nC"
+    assert text('<p>A <span class="share">x <span>y</span> z</span> B</p>') == "A B"
+    assert text('<p>A <span hidden>x</p><p>B</p>') == "A\n\nB"
+
+
+def test_class_words_do_not_take_the_article():
+    text = lambda body: styletree.main_text(f"<body>{body}</body>")
+    assert text('<article class="no-sidebar"><p>One</p></article>') == "One"
+    assert text('<div class="comments-open"><article><p>One</p><div class="comments">C</div></article></div>') == "One"
+    assert text('<div class="layout-sidebar"><article><p>One two</p><p class="ad">X</p></article></div><p>z</p>') == "One two"
+    assert text('<p>The text of the page</p><div class="related"><article>Teaser</article></div>') == "The text of the page"
+
+
 def test_paragraph_sketches(docs, nothing, texts):
     order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     parts = lambda t: {p for p in t.split("\n") if p}
