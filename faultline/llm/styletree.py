@@ -193,18 +193,26 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
 def main_text(page: str, unimportant: frozenset[str] | set[str] = frozenset()) -> str:
     """The article's blocks, joined by an empty line.
 
-    Where a page marks an article, only that is looked at, and only named parts are taken out of it; elsewhere
-    the branches whose path is unimportant go as well. An article inside a part named as something else counts
-    if there is no other and it is longer than what the rest of the page leaves.
+    Named parts and the branches whose path is unimportant go everywhere, the latter unless all marked text
+    would go with them. What a page marks as article is taken alone where it is not shorter than the
+    text left beside it. An article inside a part named as something else counts if there is no
+    other and it is longer than what the rest of the page leaves.
     """
     blocks, _ = parse(page)
-    own = [b for b in blocks if b.main and not b.chrome]
-    if not own:
-        branch = lambda path: any(path == u or path.startswith(u + "/") for u in unimportant)
-        own = [b for b in blocks if not b.chrome and not branch(b.path)]
+    low = lambda b: bool(unimportant) and any(b.path[: m.start()] in unimportant for m in re.finditer("/|$", b.path))
+    size = lambda found: sum(len(b.text) for b in found)
+    seen = [b for b in blocks if not b.chrome]
+    marked = [b for b in seen if b.main]
+    spared = all(low(b) for b in marked)
+    marked = [b for b in marked if spared or not low(b)]
+    plain = [b for b in seen if not b.main and not low(b)]
+    if not marked:
         kept = [b for b in blocks if b.kept]
-        if sum(len(b.text) for b in kept) > sum(len(b.text) for b in own):
-            own = kept
+        own = kept if size(kept) > size(plain) else plain
+    elif size(marked) >= size(plain):
+        own = marked
+    else:
+        own = [b for b in seen if not low(b) or b.main and spared]
     return "\n\n".join(b.text for b in own)
 
 

@@ -217,6 +217,14 @@ def test_class_words_do_not_take_the_article():
     assert text('<p>The text of the page</p><div class="related"><article>Teaser</article></div>') == "The text of the page"
 
 
+def test_unimportant_parts_of_articles(spark):
+    page = "<article><div class=x>Read our other stories</div><p>Own text {}</p></article>"
+    pages = spark.createDataFrame([(i, "http://a/x", page.format(i)) for i in range(6)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in styletree.extract(pages).collect()} == {i: f"Own text {i}" for i in range(6)}
+    assert styletree.main_text("<div>The long text of the page</div><article>Teaser</article>") == "The long text of the page\n\nTeaser"
+    assert styletree.main_text("<article>Same</article>", {"/article"}) == "Same"
+
+
 def test_paragraph_sketches(docs, nothing, texts):
     order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     parts = lambda t: {p for p in t.split("\n") if p}
