@@ -181,7 +181,8 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = SEED_WORDS, share: float =
         order = np.argsort(grams[rare], kind="stable")
         keys, whose, where = grams[rare][order], owner[rare][order], (at - first[owner])[rare][order]
         arrays = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        slack = np.array([len(x) // 4 + n for x in arrays], np.int64)
+        # every inserted word costs a gap, so a copy that still scores ``share`` has no more of them
+        slack = np.array([int(np.ceil((1 - share) * MATCH * len(x) / -GAP)) + n for x in arrays], np.int64)
         sent = spark.sparkContext.broadcast((own["item_id"].to_numpy(np.int64), arrays, keys, whose, where, slack))
         part = docs.mapInArrow(_passages(sent, n, share), SCHEMA)
         found = part if found is None else found.union(part)

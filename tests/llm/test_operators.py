@@ -116,6 +116,17 @@ def test_leaks(spark, docs, nothing):
     assert decontam.leaks(nothing, items).isEmpty() and decontam.leaks(own, items.limit(0)).isEmpty()
 
 
+def test_leak_around_an_insertion(spark):
+    item = prose(60, 40).split()
+    copy = [*item[:10], "zzz", *item[11:20], *prose(61, 25).split(), *item[20:30], "yyy", *item[31:]]
+    words = [*prose(62, 200).split(), *copy, *prose(63, 200).split()]
+    own = spark.createDataFrame([(1, " ".join(words)), (2, prose(64, 400))], "doc_id long, text string")
+    got = decontam.leaks(own, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    number = {w: k for k, w in enumerate(sorted({*words, *item}))}
+    best = decontam.align(np.array([number[w] for w in item]), np.array([number[w] for w in words]))[0] / 80
+    assert [(r.doc_id, r.score) for r in got] == [(1, best)] and best >= 0.6125
+
+
 def test_alignment_is_smith_waterman():
     rnd = random.Random(5)
     for _ in range(40):
