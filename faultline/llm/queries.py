@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontam, huffman, ibltdiff, linededup, ngramjoin, pieces, secretscan, styletree, toxchain, urltrees
+from faultline.llm import decontam, huffman, ibltdiff, linededup, ngramjoin, pieces, secretscan, styletree, toxchain, urltrees, wordruns
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -64,5 +64,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, after a rule made some of them repeat."""
+    docs = wordruns.planted(_table(spark, sf_dir, "documents"))
+    return wordruns.run_digests(wordruns.collapse_runs(docs))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
