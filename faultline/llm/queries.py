@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chatformat, decontam, huffman, ibltdiff, linededup, ngramjoin, pieces, secretscan, styletree, toxchain, urltrees, wordruns
+from faultline.llm import chatformat, chatrepair, decontam, huffman, ibltdiff, linededup, ngramjoin, pieces, secretscan, styletree, toxchain, urltrees, wordruns
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -79,5 +79,10 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatformat.chat_digests(chatformat.format_chats(turns.unionByName(probe)))
 
 
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage by a rule, and its cheapest repair."""
+    return chatrepair.repair_digests(chatrepair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
