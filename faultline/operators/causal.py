@@ -1,20 +1,22 @@
-"""Lagged links between metrics, the walk over them, and paths.
+"""Links between metrics, the walk over them, and paths.
 
-Links are an approximation of a full conditional-independence search: a lagged correlation is kept
-when it stays significant after the target's own previous value is partialled out.
-
-One incident holds at most ``MAX_METRICS`` series of one window, so its matrix fits a task. The
-incidents are spread over the cluster.
+Everything is a table: series are rows of a bounded window, links and moves are edges, and walks are rounds of
+message passing over them. Python sees rows of one pair of series, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.operators.scale import top_k
+from faultline.operators import messages
+from faultline.operators.scale import replicated, salted, top_k
+from faultline.operators.vectors import partial_correlation, products, same_length, unit_rows
+from faultline.session import cut_lineage
 
 # fixed values
 MAX_METRICS = 120
@@ -25,6 +27,10 @@ WALKS = 1000
 WALK_STEPS = 15
 SERVICE_RHO = 0.5
 SERVICE_ROUNDS = 50
+MAX_COVARIATES = 5
+
+#: series of one incident that meet the others in one task; an incident with more is dealt out over several
+PAIR_BLOCK = 256
 
 
 def prune_metrics(metrics: DataFrame, is_service, limit: int = MAX_METRICS) -> DataFrame:
@@ -33,75 +39,40 @@ def prune_metrics(metrics: DataFrame, is_service, limit: int = MAX_METRICS) -> D
     return top_k(metrics, ["incident_id"], order, limit, "pos")
 
 
-def matrices(series: DataFrame) -> DataFrame:
-    """One row per incident: metric names in order and their values by position."""
-    n = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    per_metric = (
-        series.groupBy("incident_id", "metric")
-        .agg(F.array_sort(F.collect_list(F.struct("k", "value")))["value"].alias("v"))
-        .repartition(n, "incident_id")
-    )
-    rows = F.array_sort(F.collect_list(F.struct("metric", "v")))
-    return per_metric.groupBy("incident_id").agg(rows.alias("m")).select(
-        "incident_id", F.col("m.metric").alias("names"), F.col("m.v").alias("rows")
-    )
-
+def series_vectors(series: DataFrame) -> tuple[DataFrame, int]:
+    """(incident_id, metric, v): the values of every bounded series by position; and the series of the largest
+    incident."""
+    points = F.array_sort(F.collect_list(F.struct("k", "value")))
+    rows = cut_lineage(series.groupBy("incident_id", "metric").agg(points["value"].alias("v")))
+    return rows, rows.groupBy("incident_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
-def _standard(x: np.ndarray) -> np.ndarray:
-    x = x - x.mean(axis=1, keepdims=True)
-    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(norm > 1e-12, x / norm, np.nan)
 
+def series_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """(incident_id, src, x, dst, y): every two series of an incident, each with itself too.
 
-def _matrix(rows) -> np.ndarray:
-    return np.array([np.asarray(r, float) for r in rows])
+    ``most`` is the number of series of the largest incident. An incident with very many is dealt out: its targets
+    over as many parts as it needs, its sources to each of them.
+    """
+    salts = max(1, math.ceil(most / PAIR_BLOCK))
+    left = rows.select("incident_id", F.col("metric").alias("dst"), F.col("v").alias("y"))
+    right = rows.select("incident_id", F.col("metric").alias("src"), F.col("v").alias("x"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = salted(left, salts).join(replicated(right, salts).hint("shuffle_hash"), ["incident_id", "_salt"])
+    return pairs.select("incident_id", "src", "x", "dst", "y").repartition(n, "incident_id", "dst")
 
 
 def correlations(series: DataFrame, zero_diagonal: bool = True) -> DataFrame:
     """Correlation of every pair of an incident's metrics; undefined values are 0."""
-
-    @F.pandas_udf("array<struct<i: int, j: int, r: double>>")
-    def corr(rows: pd.Series) -> pd.Series:
-        out = []
-        for r in rows:
-            z = _standard(_matrix(r))
-            c = np.nan_to_num(z @ z.T)
-            if zero_diagonal:
-                np.fill_diagonal(c, 0.0)
-            n = len(c)
-            out.append([{"i": i, "j": j, "r": float(c[i, j])} for i in range(n) for j in range(n)])
-        return pd.Series(out)
-
-    pairs = matrices(series).select("incident_id", "names", F.explode(corr("rows")).alias("p"))
-    return pairs.select(
-        "incident_id",
-        F.get("names", F.col("p.i")).alias("a"),
-        F.get("names", F.col("p.j")).alias("b"),
-        F.col("p.r").alias("r"),
-    )
+    r = F.coalesce(partial_correlation(F.col("x"), F.col("y")), F.lit(0.0))
+    if zero_diagonal:
+        r = F.when(F.col("src") == F.col("dst"), 0.0).otherwise(r)
+    return series_pairs(*series_vectors(series)).select("incident_id", F.col("dst").alias("a"), F.col("src").alias("b"), r.alias("r"))
 
 
-def _lagged(x: np.ndarray, max_lag: int, critical: float):
-    n_points = x.shape[1]
-    for lag in range(1, max_lag + 1):
-        n = n_points - lag
-        if n <= 4:
-            return
-        src = _standard(x[:, : n_points - lag])
-        dst = _standard(x[:, lag:])
-        own = _standard(x[:, lag - 1 : n_points - 1])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = src @ dst.T  # src i against dst j
-            r_own = src @ own.T  # src i against the previous value of j
-            a = (own * dst).sum(axis=1)
-            partial = (r - r_own * a) / np.sqrt((1 - r_own**2) * (1 - a**2))
-            z = np.abs(np.arctanh(r)) * np.sqrt(n - 3)
-            zp = np.abs(np.arctanh(partial)) * np.sqrt(n - 4)
-        found = (z > critical) & (zp > critical)
-        np.fill_diagonal(found, False)
-        for i, j in zip(*np.nonzero(found)):
-            yield int(i), int(j), lag, float(r[i, j]), float(partial[i, j])
+def fisher_z(r: Column, freedom: Column) -> Column:
+    """abs of Fisher's z over its standard error 1 / sqrt(freedom); null where that is undefined."""
+    r = F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    return F.when(freedom > 0, F.abs(F.atanh(r)) * F.sqrt(freedom.cast("double")))
 
 
 def lagged_links(
@@ -111,76 +82,137 @@ def lagged_links(
     as_coded: bool = False,
     first_targets: int | None = None,
 ) -> DataFrame:
-    """Significant links src -> dst (cause to effect) with their lag.
+    """Links src -> dst (cause to effect) by one fixed condition: a lagged correlation that stays significant when
+    the target's previous value is partialled out. ``condition_set_links`` searches the conditions instead.
 
     ``as_coded`` stores effect to cause instead; ``first_targets`` restricts the effects to the
     first metrics by name.
     """
-
-    @F.pandas_udf("array<struct<i: int, j: int, lag: int, r: double, partial: double>>")
-    def links(rows: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                [
-                    {"i": i, "j": j, "lag": lag, "r": r, "partial": p}
-                    for i, j, lag, r, p in _lagged(_matrix(m), max_lag, critical)
-                    if first_targets is None or j < first_targets
-                ]
-                for m in rows
-            ]
-        )
-
-    found = matrices(series).select("incident_id", "names", F.explode(links("rows")).alias("p"))
-    src, dst = ("p.j", "p.i") if as_coded else ("p.i", "p.j")
-    return found.select(
-        "incident_id",
-        F.get("names", F.col(src)).alias("src"),
-        F.get("names", F.col(dst)).alias("dst"),
-        F.col("p.lag").cast("long").alias("lag"),
-        F.col("p.r").alias("r"),
-        F.col("p.partial").alias("partial"),
+    rows, most = series_vectors(series)
+    pairs = series_pairs(rows, most).filter("src <> dst")
+    if first_targets is not None:
+        first = top_k(rows.select("incident_id", F.col("metric").alias("dst")), ["incident_id"], ["dst"], first_targets).drop("rank")
+        pairs = pairs.join(first, ["incident_id", "dst"])
+
+    @F.pandas_udf("struct<r: array<double>, partial: array<double>>")
+    def tests(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        out = np.full((2, len(x), max_lag), np.nan)
+        for places, (a, b) in same_length(x, y):
+            size = a.shape[1]
+            for lag in range(1, min(max_lag, size - 5) + 1):
+                src, dst, own = unit_rows(a[:, : size - lag]), unit_rows(b[:, lag:]), unit_rows(b[:, lag - 1 : size - 1])
+                r, r_own, past = products(src, dst), products(src, own), products(own, dst)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    out[:, places, lag - 1] = r, (r - r_own * past) / np.sqrt((1 - r_own**2) * (1 - past**2))
+        return pd.DataFrame({"r": list(out[0]), "partial": list(out[1])})
+
+    found = pairs.select("incident_id", "src", "dst", F.size("y").alias("n"), tests("x", "y").alias("t"))
+    found = found.select("incident_id", "src", "dst", "n", F.posexplode(F.arrays_zip("t.r", "t.partial")).alias("lag", "t"))
+    found = found.select("incident_id", "src", "dst", F.col("n") - F.col("lag") - 1, (F.col("lag") + 1).cast("long").alias("lag"), "t.r", "t.partial").toDF(
+        "incident_id", "src", "dst", "n", "lag", "r", "partial"
     )
+    strong = (fisher_z(F.col("r"), F.col("n") - 3) > critical) & (fisher_z(F.col("partial"), F.col("n") - 4) > critical)
+    src, dst = ("dst", "src") if as_coded else ("src", "dst")
+    return found.filter(strong).select("incident_id", F.col(src).alias("src"), F.col(dst).alias("dst"), "lag", "r", "partial")
 
 
-def _partial(x: np.ndarray, a: int, b: int, cond: list[int]) -> float:
-    """abs partial correlation of rows a and b given at most min(T // 3, 5) of cond."""
-    cap = max(1, min(x.shape[1] // 3, 5))
-    z = _standard(x)
-    if len(cond) > cap:
-        closeness = np.nan_to_num(np.abs(z[cond] @ z[b]))
-        cond = [cond[k] for k in np.argsort(-closeness, kind="stable")[:cap]]
-    picked = z[[a, b, *cond]]
-    if np.isnan(picked[:2]).any():
-        return 0.0
-    precision = np.linalg.pinv(np.nan_to_num(picked @ picked.T))
-    scale = precision[0, 0] * precision[1, 1]
-    return float(min(1.0, abs(precision[0, 1]) / np.sqrt(scale))) if scale > 0 else 0.0
-
-
-def _weights(x: np.ndarray, edges: set[tuple[int, int]], entry: int, rho: float, partial: bool):
-    parents: dict[int, set[int]] = {}
-    for a, b in edges:
-        parents.setdefault(b, set()).add(a)
-    above_entry = parents.get(entry, set())
-
-    def weight(y: int) -> float:
-        cond = (above_entry - {y}) | parents.get(y, set()) if partial else set()
-        return _partial(x, entry, y, sorted(cond - {entry, y}))
-
-    n = len(x)
-    w = [0.0 if y == entry else weight(y) for y in range(n)]
-    q = np.zeros((n, n))
-    for a, b in edges:
-        if a != entry:
-            q[b, a] = w[a]
-        if (b, a) not in edges and b != entry:
-            q[a, b] = rho * w[b]
-    for i in range(n):
-        if i != entry:
-            strongest = max((w[k] for k in parents.get(i, ()) if k != entry), default=0.0)
-            q[i, i] = max(0.0, w[i] - strongest)
-    total = q.sum(axis=1, keepdims=True)
-    return np.divide(q, total, out=np.zeros_like(q), where=total > 0)
+def condition_set_links(
+    series: DataFrame,
+    max_lag: int = MAX_LAG,
+    critical: float = CRITICAL_Z,
+    max_order: int | None = None,
+) -> DataFrame:
+    """Links src -> dst (cause to effect) that no set of the target's other parents explains.
+
+    Level 0 takes as parents of a target all lagged metrics, its own past among them, whose correlation is
+    significant (Fisher z). Level k tests every parent given the k strongest other parents of the target, by
+    partial correlation of order k, and drops it when it is no longer significant. A parent's strength is the
+    smallest absolute value it has had in a test. The search ends when no target has more than k parents left,
+    when the points are too few, or after ``max_order``. All correlations are over the same points, those that
+    have every lag. ``partial`` and ``n_conditions`` are from a link's last test; own lags serve as conditions
+    only. A constant series has no links.
+
+    Candidates are rows, dealt out by target. A level ranks them, hands each target's k + 1 strongest back to all
+    (k + 1 vectors of one window, never all of them) and is written to the shared folder. The points of a window
+    bound the order, and so the vectors in a row.
+    """
+    rows, most = series_vectors(series)
+
+    def reach(size):
+        return max(min(max_lag, size - 5), 0)
+
+    @F.pandas_udf("array<double>")
+    def by_lag(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.full((len(x), max_lag), np.nan)
+        for places, (a, b) in same_length(x, y):
+            size = a.shape[1]
+            most = reach(size)
+            dst = unit_rows(b[:, most:])
+            for lag in range(1, most + 1):
+                out[places, lag - 1] = products(unit_rows(a[:, most - lag : size - lag]), dst)
+        return pd.Series(list(out))
+
+    span = F.greatest(F.least(F.lit(max_lag), F.size("y") - 5), F.lit(0))
+    columns = ["incident_id", "dst", "src", "lag", "n", "x", "y"]
+    found = series_pairs(rows, most).select("*", by_lag("x", "y").alias("rs"), span.alias("_span"))
+    found = found.select("*", F.posexplode("rs").alias("_at", "partial")).withColumn("lag", F.col("_at") + 1)
+    found = found.withColumn("n", F.size("y") - F.col("_span")).filter(fisher_z(F.col("partial"), F.col("n") - 3) > critical)
+    found = found.withColumn("x", F.slice("x", F.col("_span") - F.col("lag") + 1, F.col("n"))).withColumn("y", F.slice("y", F.col("_span") + 1, F.col("n")))
+    found = found.select(*columns, "partial", F.abs("partial").alias("strength"), F.lit(0).cast("long").alias("n_conditions"))
+    target = ["incident_id", "dst"]
+    n_parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = Window.partitionBy(*target).orderBy(F.desc("strength"), "src", "lag")
+    level = 0
+    while True:
+        found = cut_lineage(found)
+        if level == max_order:
+            break
+        level += 1
+        largest = found.filter(F.col("n") - level - 3 > 0).groupBy(*target).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
+        if (largest or 0) <= level:
+            break
+        # a target's candidates meet in one task: ranked, and given the strongest, by one shuffle
+        ranked = found.repartition(n_parts, *target).withColumn("_pos", F.row_number().over(order))
+        strongest = F.collect_list(F.when(F.col("_pos") <= level + 1, F.struct("_pos", "x"))).over(Window.partitionBy(*target))
+        others = F.slice(F.filter(F.array_sort(strongest), lambda t: t["_pos"] != F.col("_pos")), 1, level)
+        ranked = ranked.withColumn("_given", others["x"]).withColumn("_tested", (F.size("_given") == level) & (F.col("n") - level - 3 > 0))
+        tested = ranked.filter("_tested").withColumn("_r", partial_correlation(F.col("x"), F.col("y"), F.col("_given")))
+        tested = tested.filter(fisher_z(F.col("_r"), F.col("n") - level - 3) > critical)
+        tested = tested.select(*columns, F.col("_r").alias("partial"), F.least("strength", F.abs("_r")).alias("strength"), F.lit(level).cast("long").alias("n_conditions"))
+        found = tested.unionByName(ranked.filter("not _tested").select(*found.columns))
+    return found.filter("src <> dst").select("incident_id", "src", "dst", F.col("lag").cast("long").alias("lag"), "partial", "n_conditions")
+
+
+def entry_weights(series: DataFrame, links: DataFrame, entries: DataFrame, partial: bool = True) -> DataFrame:
+    """(incident_id, node, entry, w): abs (partial) correlation of every metric with its incident's entry metric.
+
+    The covariates are the parents of the entry and of the node, without the two themselves: at most
+    min(T // 3, 5) of them, those closest to the node by absolute correlation, then by name. They are picked per
+    node before any vector is attached to them. An undefined value and the entry's own are 0.
+    """
+    z = series_vectors(series)[0].select("incident_id", F.col("metric").alias("node"), F.size("v").alias("n"), F.col("v").alias("z"))
+    starts = entries.select("incident_id", "entry")
+    front = z.join(starts.withColumnRenamed("entry", "node"), ["incident_id", "node"]).select("incident_id", F.col("node").alias("entry"), F.col("z").alias("x"))
+    nodes = z.join(front, "incident_id")
+    if partial:
+        edges = links.select("incident_id", "src", "dst").distinct()
+        of_node = edges.select("incident_id", F.col("dst").alias("node"), F.col("src").alias("cov"))
+        of_entry = edges.join(starts.withColumnRenamed("entry", "dst"), ["incident_id", "dst"]).select("incident_id", F.col("src").alias("cov"))
+        given = nodes.select("incident_id", "node").join(of_entry, "incident_id").union(of_node).distinct()
+        given = given.join(nodes, ["incident_id", "node"]).filter((F.col("cov") != F.col("node")) & (F.col("cov") != F.col("entry")))
+        given = given.join(z.select("incident_id", F.col("node").alias("cov"), F.col("z").alias("c")), ["incident_id", "cov"])
+        close = F.coalesce(F.abs(partial_correlation(F.col("c"), F.col("z"))), F.lit(0.0))
+        given = given.select("incident_id", "node", "cov", "n", "c", close.alias("close"))
+        picked = top_k(given, ["incident_id", "node"], [F.desc("close"), "cov"], MAX_COVARIATES)
+        picked = picked.filter(F.col("rank") <= F.greatest(F.lit(1), F.least(F.floor(F.col("n") / 3), F.lit(MAX_COVARIATES))))
+        sets = picked.groupBy("incident_id", "node").agg(F.array_sort(F.collect_list(F.struct("rank", "c")))["c"].alias("given"))
+        nodes = nodes.join(sets, ["incident_id", "node"], "left")
+        none = F.array().cast("array<array<double>>")
+        nodes = nodes.withColumn("w", partial_correlation(F.col("x"), F.col("z"), F.coalesce("given", none)))
+    else:
+        nodes = nodes.withColumn("w", partial_correlation(F.col("x"), F.col("z")))
+    w = F.coalesce(F.least(F.abs("w"), F.lit(1.0)), F.lit(0.0))
+    return nodes.select("incident_id", "node", "entry", F.when(F.col("node") == F.col("entry"), 0.0).otherwise(w).alias("w"))
 
 
 def transition(
@@ -196,33 +228,19 @@ def transition(
     cause back to its effect with ``rho`` times that, and a node stays with what exceeds its
     strongest cause. ``partial=False`` uses the plain correlation.
     """
-    per = (
-        matrices(series)
-        .join(entries.select("incident_id", "entry"), "incident_id")
-        .join(
-            links.groupBy("incident_id").agg(F.collect_set(F.struct("src", "dst")).alias("edges")),
-            "incident_id",
-            "left",
-        )
-    )
-
-    @F.pandas_udf("array<struct<i: int, j: int, p: double>>")
-    def build(names: pd.Series, rows: pd.Series, edges: pd.Series, entry: pd.Series) -> pd.Series:
-        out = []
-        for nm, m, es, start in zip(names, rows, edges, entry):
-            at = {name: i for i, name in enumerate(nm)}
-            linked = {(at[e["src"]], at[e["dst"]]) for e in (es if es is not None else [])}
-            q = _weights(_matrix(m), linked, at[start], rho, partial)
-            out.append([{"i": int(i), "j": int(j), "p": float(q[i, j])} for i, j in zip(*np.nonzero(q))])
-        return pd.Series(out)
-
-    found = per.select("incident_id", "names", F.explode(build("names", "rows", "edges", "entry")).alias("p"))
-    return found.select(
-        "incident_id",
-        F.get("names", F.col("p.i")).alias("src"),
-        F.get("names", F.col("p.j")).alias("dst"),
-        F.col("p.p").alias("p"),
-    )
+    edges = cut_lineage(links.select("incident_id", "src", "dst").distinct())
+    weights = cut_lineage(entry_weights(series, edges, entries, partial))
+    of = lambda name: weights.select("incident_id", F.col("node").alias(name), "w")
+    forward = edges.join(of("src"), ["incident_id", "src"]).select("incident_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    both = edges.select("incident_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    backward = edges.join(both, ["incident_id", "src", "dst"], "left_anti").join(of("dst"), ["incident_id", "dst"])
+    backward = backward.select("incident_id", "src", "dst", (F.col("w") * rho).alias("w"))
+    causes = forward.groupBy("incident_id", F.col("src").alias("node")).agg(F.max("w").alias("strongest"))
+    rest = F.greatest(F.lit(0.0), F.col("w") - F.coalesce("strongest", F.lit(0.0)))
+    stay = weights.join(causes, ["incident_id", "node"], "left").select("incident_id", F.col("node").alias("src"), F.col("node").alias("dst"), rest.alias("w"))
+    arcs = forward.union(backward).union(stay).filter("w > 0")
+    total = F.sum("w").over(Window.partitionBy("incident_id", "src"))
+    return arcs.select("incident_id", "src", "dst", (F.col("w") / total).alias("p"))
 
 
 def expected_visits(
@@ -231,32 +249,10 @@ def expected_visits(
     """Expected visit counts of ``walks`` random walks of ``steps`` steps from each entry.
 
     The exact expectation replaces sampling: mass moves along the edges once per step, and a node
-    without outgoing edges ends the walk. An incident's graph has at most MAX_METRICS nodes, so one
-    row per incident replaces a shuffle per step.
+    without outgoing edges ends the walk. A graph of any size is spread over the cluster by node.
     """
-    graphs = moves.groupBy("incident_id").agg(F.collect_list(F.struct("src", "dst", "p")).alias("moves"))
-
-    @F.pandas_udf("array<struct<node: string, visits: double>>")
-    def walk(moves: pd.Series, entry: pd.Series) -> pd.Series:
-        out = []
-        for arcs, start in zip(moves, entry):
-            names = sorted({start, *(a["src"] for a in arcs), *(a["dst"] for a in arcs)})
-            at = {name: i for i, name in enumerate(names)}
-            p = np.zeros((len(names), len(names)))
-            for a in arcs:
-                p[at[a["src"]], at[a["dst"]]] = a["p"]
-            mass, visits = np.zeros(len(names)), np.zeros(len(names))
-            mass[at[start]] = walks
-            for _ in range(steps):
-                mass = mass @ p
-                visits += mass
-            out.append([{"node": n, "visits": float(v)} for n, v in zip(names, visits) if v > 0])
-        return pd.Series(out)
-
-    n = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = graphs.join(entries, "incident_id").repartition(n, "incident_id")
-    found = rows.select("incident_id", F.explode(walk("moves", "entry")).alias("v"))
-    return found.select("incident_id", "v.node", "v.visits")
+    starts = entries.select("incident_id", F.col("entry").alias("node"), F.lit(float(walks)).alias("mass"))
+    return messages.walk_visits(moves, starts, steps, ["incident_id"])
 
 
 def gamma(visits: DataFrame, eta: DataFrame, share: float = 0.5) -> DataFrame:
@@ -302,51 +298,36 @@ def service_correlation(per_trace: DataFrame, entry: str) -> DataFrame:
 
 
 def service_walk(
-    edges: DataFrame, corr: DataFrame, entry: str, rho: float = SERVICE_RHO, rounds: int = SERVICE_ROUNDS
+    edges: DataFrame, corr: DataFrame, entry: str, rho: float = SERVICE_RHO, rounds: int = SERVICE_ROUNDS, tolerance: float = 1e-13
 ) -> DataFrame:
-    """Power iteration x = A x / 2 + v / 2 over one incident's services.
+    """(incident_id, service, score): rounds of score = (weighted scores of the neighbours + own correlation) / 2.
 
-    A holds the callee's correlation on calls, ``rho`` times the caller's on the way back and what
-    exceeds the best callee on the diagonal, row-normalised. The number of services bounds A.
+    A caller listens to its callees with their correlation to the entry (-1 for the entry itself); a callee to its
+    callers with ``rho`` times theirs, unless it calls them too or the caller is the entry; a service other than
+    the entry to itself with what it exceeds its best callee by. A service's weights are divided by the sum of their
+    absolute values, so that negative ones cannot cancel it and every round halves what is left to move; where that
+    is 0 it listens to none. Calls to itself and to services without a correlation do not count.
     """
-    per = (
-        corr.groupBy("incident_id")
-        .agg(F.array_sort(F.collect_list(F.struct("service", "r"))).alias("c"))
-        .join(
-            edges.groupBy("incident_id").agg(F.collect_set(F.struct("src", "dst")).alias("edges")),
-            "incident_id",
-            "left",
-        )
-    )
-
-    @F.pandas_udf("array<struct<service: string, score: double>>")
-    def walk(cs: pd.Series, es: pd.Series) -> pd.Series:
-        out = []
-        for c, e in zip(cs, es):
-            names = [entry, *[row["service"] for row in c]]
-            r = np.array([-1.0, *[row["r"] for row in c]])
-            at = {name: i for i, name in enumerate(names)}
-            a = np.zeros((len(names), len(names)))
-            for edge in e if e is not None else []:
-                i, j = at.get(edge["src"]), at.get(edge["dst"])
-                if i is None or j is None or i == j:
-                    continue
-                a[i, j] = r[j]
-                if i != 0:
-                    a[j, i] = rho * r[i]
-            for i in range(1, len(names)):
-                callees = [r[at[x["dst"]]] for x in (e if e is not None else []) if x["src"] == names[i] and x["dst"] in at and x["dst"] != names[i]]
-                a[i, i] = max(0.0, r[i] - max(callees, default=0.0))
-            total = a.sum(axis=1, keepdims=True)
-            a = np.divide(a, total, out=np.zeros_like(a), where=np.abs(total) > 1e-12)
-            v, x = np.where(np.arange(len(names)) > 0, r, 0.0), np.zeros(len(names))
-            for _ in range(rounds):
-                x = 0.5 * (a @ x) + 0.5 * v
-            out.append([{"service": n, "score": float(s)} for n, s in zip(names, x)])
-        return pd.Series(out)
-
-    found = per.select("incident_id", F.explode(walk("c", "edges")).alias("s"))
-    return found.select("incident_id", "s.service", "s.score")
+    front = corr.select("incident_id").distinct().select("incident_id", F.lit(entry).alias("service"), F.lit(-1.0).alias("r"))
+    nodes = cut_lineage(corr.select("incident_id", "service", "r").union(front))
+    of = lambda name, r: nodes.select("incident_id", F.col("service").alias(name), F.col("r").alias(r))
+    calls = edges.select("incident_id", "src", "dst").filter("src <> dst").distinct()
+    calls = cut_lineage(calls.join(of("src", "r_src"), ["incident_id", "src"]).join(of("dst", "r_dst"), ["incident_id", "dst"]))
+    down = calls.select("incident_id", "src", "dst", F.col("r_dst").alias("w"))
+    answered = calls.select("incident_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    up = calls.filter(F.col("src") != entry).join(answered, ["incident_id", "src", "dst"], "left_anti")
+    up = up.select("incident_id", F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("r_src") * rho).alias("w"))
+    best = calls.groupBy("incident_id", F.col("src").alias("service")).agg(F.max("r_dst").alias("best"))
+    own = nodes.filter(F.col("service") != entry).join(best, ["incident_id", "service"], "left")
+    more = F.greatest(F.lit(0.0), F.col("r") - F.coalesce("best", F.lit(0.0)))
+    stay = own.select("incident_id", F.col("service").alias("src"), F.col("service").alias("dst"), more.alias("w"))
+    arcs = down.union(up).union(stay)
+    total = F.sum(F.abs("w")).over(Window.partitionBy("incident_id", "src"))
+    arcs = arcs.withColumn("_total", total).filter("_total > 1e-9")
+    arcs = arcs.select("incident_id", "src", "dst", (F.col("w") / F.col("_total")).alias("weight"))
+    base = nodes.select("incident_id", F.col("service").alias("node"), F.when(F.col("service") == entry, 0.0).otherwise(F.col("r")).alias("value"))
+    scores = messages.damped_scores(arcs, base, rounds, ["incident_id"], 0.5, tolerance)
+    return scores.select("incident_id", F.col("node").alias("service"), "score")
 
 
 def propagation_paths(links: DataFrame, sources: DataFrame, max_edges: int = 3, limit: int = 5) -> DataFrame:

@@ -70,14 +70,64 @@ def w21_as_coded(t):
     return found.select("incident_id", "src", "dst", "lag")
 
 
-WALK = ETA.rstrip() + "," + LINKS.rstrip() + """,
+# conditions searched up to order 2: ties by name and lag, strength is the smallest absolute value so far
+SEARCH = """
+lv AS MATERIALIZED (SELECT a.incident_id, a.metric, g.lag, a.k + g.lag AS k, a.value AS v FROM mw a, range(0, 11) g(lag) WHERE a.k + g.lag BETWEEN 10 AND 29),
+c0 AS MATERIALIZED (SELECT x.incident_id, y.metric AS dst, x.metric AS src, x.lag, corr(x.v, y.v) AS r FROM lv x JOIN lv y
+  ON y.incident_id = x.incident_id AND y.k = x.k AND y.lag = 0 WHERE x.lag > 0 GROUP BY ALL),
+o0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY incident_id, dst ORDER BY abs(r) DESC, src, lag) AS pos,
+    count(*) OVER (PARTITION BY incident_id, dst) AS parents
+  FROM c0 WHERE abs(0.5 * ln((1 + r) / (1 - r))) * sqrt(17) > 1.959964),
+n1 AS MATERIALIZED (SELECT p.*, s.src AS s_src, s.lag AS s_lag, s.r AS rys FROM o0 p LEFT JOIN o0 s
+  ON s.incident_id = p.incident_id AND s.dst = p.dst AND s.pos = CASE WHEN p.pos = 1 THEN 2 ELSE 1 END),
+d1 AS MATERIALIZED (SELECT n.incident_id, n.dst, n.src, n.lag, corr(x.v, z.v) AS rps FROM n1 n JOIN lv x ON x.incident_id = n.incident_id AND x.metric = n.src AND x.lag = n.lag
+  JOIN lv z ON z.incident_id = n.incident_id AND z.metric = n.s_src AND z.lag = n.s_lag AND z.k = x.k GROUP BY ALL),
+t1 AS (SELECT n1.*, (r - rps * rys) / sqrt((1 - rps * rps) * (1 - rys * rys)) AS r1 FROM n1 LEFT JOIN d1 USING (incident_id, dst, src, lag)),
+o1 AS MATERIALIZED (SELECT incident_id, dst, src, lag, r, CASE WHEN parents > 1 THEN r1 ELSE r END AS partial, CASE WHEN parents > 1 THEN 1 ELSE 0 END AS n_conditions,
+    row_number() OVER w AS pos, count(*) OVER (PARTITION BY incident_id, dst) AS parents
+  FROM t1 WHERE parents = 1 OR abs(0.5 * ln((1 + r1) / (1 - r1))) * sqrt(16) > 1.959964
+  WINDOW w AS (PARTITION BY incident_id, dst ORDER BY CASE WHEN parents > 1 THEN least(abs(r), abs(r1)) ELSE abs(r) END DESC, src, lag)),
+n2 AS MATERIALIZED (SELECT p.*, s.src AS s_src, s.lag AS s_lag, s.r AS rys, u.src AS u_src, u.lag AS u_lag, u.r AS ryu FROM o1 p
+  JOIN o1 s ON s.incident_id = p.incident_id AND s.dst = p.dst AND s.pos = CASE WHEN p.pos = 1 THEN 2 ELSE 1 END
+  JOIN o1 u ON u.incident_id = p.incident_id AND u.dst = p.dst AND u.pos = CASE WHEN p.pos <= 2 THEN 3 ELSE 2 END),
+two AS MATERIALIZED (SELECT incident_id, dst, src, lag, 'ps' AS kind, src AS m1, lag AS l1, s_src AS m2, s_lag AS l2 FROM n2
+  UNION ALL SELECT incident_id, dst, src, lag, 'pu', src, lag, u_src, u_lag FROM n2
+  UNION ALL SELECT incident_id, dst, src, lag, 'su', s_src, s_lag, u_src, u_lag FROM n2),
+rr AS MATERIALIZED (SELECT t.incident_id, dst, src, t.lag, kind, corr(x.v, z.v) AS r FROM two t JOIN lv x ON x.incident_id = t.incident_id AND x.metric = m1 AND x.lag = l1
+  JOIN lv z ON z.incident_id = t.incident_id AND z.metric = m2 AND z.lag = l2 AND z.k = x.k GROUP BY ALL),
+d2 AS MATERIALIZED (SELECT incident_id, dst, src, lag, min(r) FILTER (kind = 'ps') AS rps, min(r) FILTER (kind = 'pu') AS rpu, min(r) FILTER (kind = 'su') AS rsu
+  FROM rr GROUP BY ALL),
+e2 AS (SELECT *, (r - rps * rys) / sqrt((1 - rps * rps) * (1 - rys * rys)) AS a, (rpu - rps * rsu) / sqrt((1 - rps * rps) * (1 - rsu * rsu)) AS b,
+    (ryu - rys * rsu) / sqrt((1 - rys * rys) * (1 - rsu * rsu)) AS c FROM n2 JOIN d2 USING (incident_id, dst, src, lag)),
+t2 AS (SELECT *, (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) AS r2 FROM e2),
+searched AS (SELECT incident_id, src, dst, lag, r2 AS partial, 2 AS n_conditions FROM t2 WHERE abs(0.5 * ln((1 + r2) / (1 - r2))) * sqrt(15) > 1.959964
+  UNION ALL SELECT incident_id, src, dst, lag, partial, n_conditions FROM o1 WHERE parents <= 2)
+"""
+
+
+@query(
+    "w21_condition_sets_order_2",
+    MW.rstrip() + "," + SEARCH + "SELECT incident_id, src, dst, lag, round(partial, 6) AS partial, CAST(n_conditions AS BIGINT) AS n_conditions FROM searched WHERE src <> dst",
+)
+def w21_search(t):
+    return causal.condition_set_links(metric_windows(t), max_order=2).withColumn("partial", r6("partial"))
+
+
+@query("w21_condition_sets")
+def w21_full_search(t):
+    return causal.condition_set_links(metric_windows(t))
+
+
+HEAD = ETA.rstrip() + "," + LINKS.rstrip() + """,
 ent AS (SELECT incident_id, metric AS entry FROM (SELECT incident_id, metric, row_number() OVER (PARTITION BY incident_id
     ORDER BY round(eta, 6) DESC, metric) AS rn FROM eta) WHERE rn = 1),
 ed AS (SELECT DISTINCT incident_id, src, dst FROM links),
-wt AS (SELECT a.incident_id, b.metric AS node, CASE WHEN b.metric = e.entry THEN 0.0 ELSE coalesce(abs(corr(a.value, b.value)), 0.0) END AS w
+"""
+PLAIN = """wt AS (SELECT a.incident_id, b.metric AS node, CASE WHEN b.metric = e.entry THEN 0.0 ELSE coalesce(abs(corr(a.value, b.value)), 0.0) END AS w
   FROM ent e JOIN mw a ON a.incident_id = e.incident_id AND a.metric = e.entry JOIN mw b ON b.incident_id = a.incident_id AND b.k = a.k
   GROUP BY a.incident_id, b.metric, e.entry),
-q AS (
+"""
+MOVES = """q AS (
   SELECT ed.incident_id, ed.dst AS src, ed.src AS dst, w FROM ed JOIN wt ON wt.incident_id = ed.incident_id AND wt.node = ed.src
   UNION ALL
   SELECT ed.incident_id, ed.src, ed.dst, 0.2 * w FROM ed JOIN wt ON wt.incident_id = ed.incident_id AND wt.node = ed.dst
@@ -88,6 +138,42 @@ q AS (
 tm AS (SELECT incident_id, src, dst, w / sum(w) OVER (PARTITION BY incident_id, src) AS p FROM q WHERE w > 0)
 """
 
+WALK = HEAD + PLAIN + MOVES
+
+
+def _taken_out_sql() -> str:
+    """CTEs p5 ... p0: correlations of x (the entry), y (the node) and the covariates 1-5, less one covariate each."""
+    out = [
+        """mem AS (SELECT incident_id, node, 'x' AS v, entry AS metric FROM nd
+  UNION ALL SELECT incident_id, node, 'y', node FROM nd UNION ALL SELECT incident_id, node, CAST(rank AS VARCHAR), cov FROM pk WHERE rank <= 5),
+p5 AS (SELECT i.incident_id, i.node, i.v AS a, j.v AS b, min(c.r) AS r FROM mem i JOIN mem j ON j.incident_id = i.incident_id AND j.node = i.node AND i.v <> j.v
+  JOIN cm c ON c.incident_id = i.incident_id AND c.a = i.metric AND c.b = j.metric GROUP BY ALL)"""
+    ]
+    for s in range(5, 0, -1):
+        out.append(f"""p{s - 1} AS (SELECT p.incident_id, p.node, p.a, p.b, CASE WHEN s.r IS NULL OR u.r IS NULL THEN p.r
+  WHEN 1 - s.r * s.r > 1e-10 AND 1 - u.r * u.r > 1e-10 THEN (p.r - s.r * u.r) / sqrt((1 - s.r * s.r) * (1 - u.r * u.r)) END AS r
+  FROM p{s} p LEFT JOIN p{s} s ON s.incident_id = p.incident_id AND s.node = p.node AND s.a = p.a AND s.b = '{s}'
+  LEFT JOIN p{s} u ON u.incident_id = p.incident_id AND u.node = p.node AND u.a = p.b AND u.b = '{s}' WHERE p.a <> '{s}' AND p.b <> '{s}')""")
+    return ",\n".join(out)
+
+
+PARTIAL = (
+    """cm AS (SELECT a.incident_id, a.metric AS a, b.metric AS b, corr(a.value, b.value) AS r FROM mw a JOIN mw b
+  ON a.incident_id = b.incident_id AND a.k = b.k AND a.metric <> b.metric GROUP BY ALL),
+nd AS (SELECT DISTINCT mw.incident_id, mw.metric AS node, entry FROM mw JOIN ent USING (incident_id)),
+gv AS (SELECT nd.incident_id, node, entry, src AS cov FROM nd JOIN ed ON ed.incident_id = nd.incident_id AND ed.dst = nd.entry
+  UNION SELECT nd.incident_id, node, entry, src FROM nd JOIN ed ON ed.incident_id = nd.incident_id AND ed.dst = nd.node),
+pk AS (SELECT gv.incident_id, node, cov, row_number() OVER (PARTITION BY gv.incident_id, node ORDER BY abs(r) DESC, cov) AS rank
+  FROM gv JOIN cm ON cm.incident_id = gv.incident_id AND cm.a = cov AND cm.b = node WHERE cov <> node AND cov <> entry),
+"""
+    + _taken_out_sql()
+    + """,
+wt AS (SELECT nd.incident_id, nd.node, CASE WHEN nd.node = entry THEN 0.0 ELSE coalesce(least(abs(r), 1.0), 0.0) END AS w
+  FROM nd LEFT JOIN p0 ON p0.incident_id = nd.incident_id AND p0.node = nd.node AND a = 'x' AND b = 'y'),
+"""
+)
+
+
 def plain_transition(t):
     return causal.transition(metric_windows(t), links(t), entries(t), partial=False)
 
@@ -100,9 +186,9 @@ def w24(t):
     return plain_transition(t).withColumn("p", r6("p"))
 
 
-@query("g3_transition_partial")
+@query("g3_transition_partial", HEAD + PARTIAL + MOVES + "SELECT incident_id, src, dst, round(p, 6) AS p FROM tm")
 def g3(t):
-    return causal.transition(metric_windows(t), links(t), entries(t))
+    return causal.transition(metric_windows(t), links(t), entries(t)).withColumn("p", r6("p"))
 
 
 STEPS = "".join(
@@ -221,11 +307,39 @@ def g5_corr(t):
     return self_time_correlation(t).withColumn("r", r6("r"))
 
 
-@query("g5_service_power_iteration")
+ROUNDS = ",\n".join(
+    f"""x{i} AS (SELECT n.incident_id, n.service, 0.5 * CASE WHEN n.service = 'svc0' THEN 0.0 ELSE n.r END + 0.5 * coalesce(s.part, 0.0) AS score
+  FROM node n LEFT JOIN (SELECT w.incident_id, w.src, sum(w.w * x.score) AS part FROM arcs w JOIN x{i - 1} x
+    ON x.incident_id = w.incident_id AND x.service = w.dst GROUP BY ALL) s ON s.incident_id = n.incident_id AND s.src = n.service)"""
+    for i in range(1, 51)
+)
+POWER = (
+    "cr AS MATERIALIZED (WITH "
+    + CORR_SQL.strip()
+    + """),
+node AS MATERIALIZED (SELECT * FROM cr UNION ALL SELECT DISTINCT incident_id, 'svc0', -1.0 FROM cr),
+calls AS MATERIALIZED (SELECT DISTINCT s.incident_id, p.service AS src, s.service AS dst, a.r AS r_src, b.r AS r_dst FROM win_spans s
+  JOIN spans p ON p.trace_id = s.trace_id AND p.span_id = s.parent_span_id
+  JOIN node a ON a.incident_id = s.incident_id AND a.service = p.service JOIN node b ON b.incident_id = s.incident_id AND b.service = s.service
+  WHERE p.service <> s.service),
+raw AS (SELECT incident_id, src, dst, r_dst AS w FROM calls
+  UNION ALL SELECT incident_id, dst, src, 0.5 * r_src FROM calls c WHERE src <> 'svc0' AND NOT EXISTS
+    (SELECT 1 FROM calls d WHERE d.incident_id = c.incident_id AND d.src = c.dst AND d.dst = c.src)
+  UNION ALL SELECT incident_id, service, service, greatest(0.0, r - coalesce((SELECT max(r_dst) FROM calls c
+    WHERE c.incident_id = n.incident_id AND c.src = n.service), 0.0)) FROM node n WHERE service <> 'svc0'),
+arcs AS MATERIALIZED (SELECT incident_id, src, dst, w / total AS w FROM (SELECT *, sum(abs(w)) OVER (PARTITION BY incident_id, src) AS total FROM raw) WHERE total > 1e-9),
+x0 AS (SELECT incident_id, service, 0.0 AS score FROM node),
+"""
+    + ROUNDS.replace("AS (SELECT n.", "AS MATERIALIZED (SELECT n.")
+)
+
+
+@query("g5_service_power_iteration", POWER + " SELECT incident_id, service, round(score, 6) AS score FROM x50")
 def g5(t):
     edges = win.spans_in_windows(sp.with_parent(t.spans).filter("link = 'child'"), t.fault_windows)
     pairs = edges.select("incident_id", F.col("parent_service").alias("src"), F.col("service").alias("dst")).distinct()
-    return causal.service_walk(pairs, self_time_correlation(t), ENTRY_SERVICE)
+    rounded = self_time_correlation(t).withColumn("r", r6("r"))  # sums of weights near 0 must not hang on the order of rows
+    return causal.service_walk(pairs, rounded, ENTRY_SERVICE).withColumn("score", r6("score"))
 
 
 @query(

@@ -67,7 +67,7 @@ def main():
     args = sys.argv[1:]
     if args and args[0].startswith("sf"):
         sf = f"/root/testdata/{args.pop(0)}"
-    spark = build_session("check", "local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+    spark = build_session("check", "local[8]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:
