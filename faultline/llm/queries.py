@@ -8,7 +8,21 @@ from pyspark.sql import functions as F
 
 from faultline.llm import chatformat, chatrepair, decontam, huffman, ibltdiff, linededup, ngramjoin, pieces, secretscan, styletree, toxchain, urltrees, wordruns
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op12_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (SELECT *, regexp_replace(text, '(<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|<role>|<is>|</role>|<turn>)', '\\\1', 'g') AS esc,
+  lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS NOT DISTINCT FROM role AS joins FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(esc) + CASE WHEN joins THEN 8 WHEN role = 'system' THEN 17 WHEN role = 'user' THEN 15
+    WHEN role = 'assistant' THEN 9 ELSE 21 + length(role) END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
