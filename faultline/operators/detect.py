@@ -62,14 +62,14 @@ def sigma_thresholds(series: DataFrame, train: str, n_std: float = 3.0) -> DataF
     return series.withColumn("threshold", limit).filter(~train)
 
 
-def eta(tested: DataFrame) -> DataFrame:
+def eta(tested: DataFrame, keys=KEYS) -> DataFrame:
     """Per metric the largest relative excess over its threshold, and the first such step.
 
     A threshold of 0 gives no ratio; a metric without excess has eta 0.
     """
     over = F.col("value") > F.col("threshold")
     ratio = F.try_divide(F.abs(F.col("value") - F.col("threshold")), F.col("threshold"))
-    return tested.groupBy(*KEYS).agg(
+    return tested.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(over, ratio)), F.lit(0.0)).alias("eta"),
         F.min(F.when(over, F.col("k"))).alias("first_step"),
     )
@@ -151,7 +151,82 @@ class _Tail:
         return False
 
 
-def tail_limits(values: np.ndarray, n_init: int, q: float, depth: int, two_sided: bool):
+#: places at which each side of the likelihood's root function is looked at for a change of sign
+SEARCH_POINTS = 96
+
+
+def fit_pareto(peaks: np.ndarray) -> tuple[float, float]:
+    """(shape, scale) of the generalized Pareto distribution with the greatest likelihood for positive peaks.
+
+    With x = shape / scale the shape that fits best is g(x) = mean(log(1 + x y)), and the likelihood is
+    -n (log(g(x) / x) + g(x) + 1); its stationary points are the zeros of (1 + g(x)) mean(1 / (1 + x y)) - 1. Both
+    sides of 0 are searched, on a grid that is dense near 0 and near the pole at -1 / max(y); each change of sign is
+    halved down to a root, so the search cannot leave its bracket. The likelihoods of all roots and of shape 0 (the
+    exponential, scale mean(y)) are compared. Shapes below -1, where the likelihood has no bound, are left out.
+    """
+    y = np.asarray(peaks, float)
+    n, mean, top, low = len(y), y.mean(), y.max(), y.min()
+    best = (-n * (math.log(mean) + 1), 0.0, mean)
+    if top <= low:
+        return best[1:]
+
+    def zero(x: np.ndarray) -> np.ndarray:
+        z = 1 + np.multiply.outer(x, y)
+        return (1 + np.log(z).mean(axis=-1)) * (1 / z).mean(axis=-1) - 1
+
+    steps = np.geomspace(1e-8, 1, SEARCH_POINTS)
+    pole = -1 / top
+    left = np.unique(np.concatenate((pole * (1 - steps), pole * steps)))
+    left = left[(left > pole) & (left < 0)]
+    right = 2 * (mean - low) / low**2 * np.geomspace(1e-8 * low / top, 1, 2 * SEARCH_POINTS)
+    for grid in (left, right):
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            side = np.sign(zero(grid))
+        change = np.flatnonzero(side[1:] * side[:-1] < 0)
+        a, b, sign = grid[change], grid[change + 1], side[change]
+        for _ in range(80):
+            middle = (a + b) / 2
+            same = np.sign(zero(middle)) == sign
+            a, b = np.where(same, middle, a), np.where(same, b, middle)
+        for x in (a + b) / 2:
+            shape = float(np.log(1 + x * y).mean())
+            if shape > -1 and shape / x > 0:
+                best = max(best, (-n * (math.log(shape / x) + shape + 1), shape, shape / x))
+    return best[1:]
+
+
+class _LikelihoodTail(_Tail):
+    """Peaks over a fixed level, kept one by one, with the tail of the greatest likelihood."""
+
+    def __init__(self, calibration: np.ndarray, level: float, q: float):
+        self.peaks = None
+        super().__init__(calibration, level, q)
+        ranked = np.sort(calibration)
+        peaks = ranked[ranked > self.level] - self.level
+        self.peaks = list(peaks if len(peaks) else NO_EXCESS_PEAKS)
+        self.refit()
+
+    def refit(self) -> None:
+        if self.peaks is None:  # while the level is set
+            return
+        shape, scale = fit_pareto(np.array(self.peaks))
+        r = self.n * self.q / len(self.peaks)
+        self.limit = self.level + (-scale * math.log(r) if shape == 0 else scale / shape * (r**-shape - 1))
+
+    def see(self, x: float) -> bool:
+        if x > self.limit:
+            return True
+        self.n += 1
+        if x > self.level:
+            self.peaks.append(x - self.level)
+            self.refit()
+        return False
+
+
+TAILS = {"moments": _Tail, "likelihood": _LikelihoodTail}
+
+
+def tail_limits(values: np.ndarray, n_init: int, q: float, depth: int, two_sided: bool, fit: str = "moments"):
     """Run one series: calibrate on the first n_init values, then follow the rest value by value.
 
     depth 0 is the plain form; otherwise values are taken relative to the mean of the last
@@ -165,8 +240,8 @@ def tail_limits(values: np.ndarray, n_init: int, q: float, depth: int, two_sided
         level = LEVEL_DRIFT
     else:
         calibration, recent, level = head, [], LEVEL_PLAIN
-    upper = _Tail(calibration, level, q)
-    lower = _Tail(-calibration, level, q) if two_sided else None
+    upper = TAILS[fit](calibration, level, q)
+    lower = TAILS[fit](-calibration, level, q) if two_sided else None
     ups, lows, alarms = [], [], []
     for x in rest:
         base = sum(recent) / depth if depth else 0.0
@@ -194,10 +269,14 @@ def adaptive_thresholds(
     depth: int = 0,
     two_sided: bool = False,
     train_share: float = 0.5,
+    keys: list[str] = KEYS,
+    fit: str = "moments",
 ) -> DataFrame:
-    """Adaptive tail thresholds per (incident, metric); series length is bounded by the window.
+    """Adaptive tail thresholds per series (``keys``); series length is bounded by the window.
 
-    A series on which the tail fit fails falls back to mean + 3 std.
+    ``fit`` is "moments" or "likelihood" (``fit_pareto``). A threshold follows from all values before it, so one
+    series is one sequence; series are spread over the cluster. A series on which the tail fit fails falls back
+    to mean + 3 std.
     """
 
     @F.pandas_udf("struct<up: array<double>, low: array<double>, alarm: array<boolean>>")
@@ -207,7 +286,7 @@ def adaptive_thresholds(
             x = np.asarray(v, float)
             n_init = int(train_share * len(x))
             try:
-                rows.append(tail_limits(x, n_init, q, depth, two_sided))
+                rows.append(tail_limits(x, n_init, q, depth, two_sided, fit))
             except (ValueError, ZeroDivisionError, OverflowError, IndexError):
                 limit = float(x[:n_init].mean() + 3 * max(x[:n_init].std(), 1e-8))
                 rest = x[n_init:]
@@ -215,11 +294,11 @@ def adaptive_thresholds(
         return pd.DataFrame(rows, columns=["up", "low", "alarm"])
 
     n = series.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    arrays = as_arrays(series.repartition(int(n), *KEYS)).withColumn("r", limits("vs"))
+    arrays = as_arrays(series.repartition(int(n), *keys), keys).withColumn("r", limits("vs"))
     n_init = F.floor(F.size("vs") * F.lit(train_share)).cast("int")
     at = F.col("_i") + n_init
     return arrays.select("*", F.posexplode("r.up").alias("_i", "threshold")).select(
-        *KEYS,
+        *keys,
         F.get("ks", at).alias("k"),
         F.get("vs", at).alias("value"),
         "threshold",

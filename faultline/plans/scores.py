@@ -238,3 +238,33 @@ for _name, _depth, _two in (
 def w20(t):
     tested = detect.adaptive_thresholds(metric_windows(t), depth=300)
     return detect.eta(tested)
+
+
+HOUR = 3600
+
+
+def hourly_series(t):
+    """Hourly averages of every (service, kpi), numbered along time: several hundred points each."""
+    hour = F.expr(f"ts div {HOUR}")
+    means = t.events.groupBy("service", "event_type", hour.alias("hour")).agg(r6(F.avg("value"), "value"))
+    metric = F.concat_ws("_", "service", "event_type").alias("metric")
+    return means.select(metric, F.col("hour").alias("k"), "value")
+
+
+for _name, _depth, _two in (
+    ("w16_likelihood_threshold", 0, False),
+    ("w17_likelihood_threshold_two_sided", 0, True),
+    ("w18_likelihood_threshold_drift", 10, False),
+    ("w19_likelihood_threshold_drift_two_sided", 10, True),
+):
+
+    def _run_likelihood(t, depth=_depth, two=_two):
+        return detect.adaptive_thresholds(hourly_series(t), depth=depth, two_sided=two, keys=["metric"], fit="likelihood")
+
+    query(_name)(_run_likelihood)
+
+
+@query("w20_likelihood_drift_eta")
+def w20_likelihood(t):
+    tested = detect.adaptive_thresholds(hourly_series(t), depth=300, keys=["metric"], fit="likelihood")
+    return detect.eta(tested, ["metric"])
