@@ -12,11 +12,11 @@ from faultline.operators.scale import global_index, lookup_join, top_k
 from faultline.session import cut_lineage
 
 TRACE = "trace_id"
-MAX_ROUNDS = 20
 
 # fixed values: path prefixes and separator
 PATH_START = "start"
 PATH_UNCLEAR = "unclear_start"
+PATH_CYCLIC = "cyclic"
 PATH_SEP = "#"
 
 
@@ -85,24 +85,31 @@ def trace_summary(spans: DataFrame, fallback_root: bool = True) -> DataFrame:
     )
 
 
-def call_paths(spans: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def call_paths(spans: DataFrame) -> DataFrame:
     """Add call_path (root to span, joined by '#') and depth.
 
-    Ancestor links are doubled every round, so a chain of n spans needs about log2(n) joins. Spans
-    that reached their top leave the loop and are not written again; every round is checkpointed.
+    Ancestor links are doubled every round, so a chain of n spans needs about log2(n) joins. Only ids and paths go
+    through the rounds, and spans that reached their top leave them; each round is checkpointed, and the other
+    columns are joined once at the end. A span with very many children is one row of the looked-up side; the skewed
+    side is split by the adaptive join. A chain with more links than its trace has spans runs in a cycle: its spans
+    and all that hang under them get the prefix 'cyclic', their own service and no depth.
     """
-    state = spans.select(
+    ids = spans.select(TRACE, "span_id", "parent_span_id", "service").distinct()
+    sizes = ids.groupBy(TRACE).agg(F.count("*").alias("size"))
+    state = ids.join(sizes, TRACE).select(
         TRACE,
         "span_id",
-        F.struct(*[c for c in spans.columns if c not in (TRACE, "span_id")]).alias("span"),
+        "parent_span_id",
+        "service",
+        "size",
         F.col("parent_span_id").alias("up"),
         F.col("service").alias("path"),
         F.lit(1).cast("long").alias("depth"),
-        F.lit(False).alias("orphan"),
+        F.lit(PATH_START).alias("prefix"),
     )
     state = cut_lineage(state)
     done, pending = [state.filter(F.col("up").isNull())], state.filter(F.col("up").isNotNull())
-    for _ in range(max_rounds):
+    while not pending.isEmpty():
         above = pending
         for part in done:
             above = above.unionByName(part)
@@ -112,31 +119,36 @@ def call_paths(spans: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
             F.col("up").alias("a_up"),
             F.col("path").alias("a_path"),
             F.col("depth").alias("a_depth"),
-            F.col("orphan").alias("a_orphan"),
+            F.col("prefix").alias("a_prefix"),
         )
-        stepped = pending.join(above, [TRACE, "up"], "left").select(
+        depth = F.col("depth") + F.coalesce("a_depth", F.lit(0))
+        cyclic = (F.col("a_prefix") == PATH_CYCLIC) | (F.col("a_up").isNotNull() & (depth > F.col("size")))
+        stepped = pending.join(above, [TRACE, "up"], "left").withColumn("_cyclic", F.coalesce(cyclic, F.lit(False)))
+        stepped = stepped.select(
             TRACE,
             "span_id",
-            "span",
-            F.col("a_up").alias("up"),
-            F.concat_ws(PATH_SEP, "a_path", "path").alias("path"),
-            (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth"),
-            F.coalesce("a_orphan", F.lit(True)).alias("orphan"),
+            "parent_span_id",
+            "service",
+            "size",
+            F.when(~F.col("_cyclic"), F.col("a_up")).alias("up"),
+            F.when(F.col("_cyclic"), F.col("service")).otherwise(F.concat_ws(PATH_SEP, "a_path", "path")).alias("path"),
+            F.when(~F.col("_cyclic"), depth).alias("depth"),
+            F.when(F.col("_cyclic"), PATH_CYCLIC).otherwise(F.coalesce("a_prefix", F.lit(PATH_UNCLEAR))).alias("prefix"),
         )
         stepped = cut_lineage(stepped)
         done.append(stepped.filter(F.col("up").isNull()))
         pending = stepped.filter(F.col("up").isNotNull())
-        if pending.isEmpty():
-            break
-    else:
-        raise ValueError("parent links form a cycle")
     state = done[0]
     for part in done[1:]:
         state = state.unionByName(part)
-    prefix = F.when(F.col("orphan"), PATH_UNCLEAR).otherwise(PATH_START)
-    return state.select(
-        TRACE, "span_id", "span.*", F.concat_ws(PATH_SEP, prefix, "path").alias("call_path"), "depth"
+    found = state.select(
+        TRACE, "span_id", F.col("parent_span_id").alias("_parent"), F.col("service").alias("_service"),
+        F.concat_ws(PATH_SEP, "prefix", "path").alias("call_path"), "depth",
     )
+    same = F.col("_parent").eqNullSafe(F.col("parent_span_id")) & F.col("_service").eqNullSafe(F.col("service"))
+    kept = [c for c in spans.columns if c not in (TRACE, "span_id", "call_path", "depth")]
+    joined = spans.drop("call_path", "depth").join(found, [TRACE, "span_id"]).filter(same)
+    return joined.select(TRACE, "span_id", *kept, "call_path", "depth")
 
 
 def stv(paths: DataFrame, keys=(TRACE,)) -> DataFrame:

@@ -67,9 +67,27 @@ def test_long_chain_and_cycle(spark):
     got = {r.span_id: r for r in sp.call_paths(frame(spark, chain)).collect()}
     assert got[40].depth == 40
     assert got[40].call_path == "start#" + "#".join(f"s{i}" for i in range(1, 41))
-    cycle = [(1, 1, 2, "a", 1.0, 0, 1), (1, 2, 1, "b", 1.0, 0, 2)]
-    with pytest.raises(ValueError):
-        sp.call_paths(frame(spark, cycle), max_rounds=4)
+
+
+def test_cycles_are_marked_and_other_traces_complete(spark):
+    loop = [(1, 1, 2, "a", 1.0, 0, 1), (1, 2, 3, "b", 1.0, 0, 2), (1, 3, 1, "c", 1.0, 0, 3)]
+    under = [(1, 4, 3, "d", 1.0, 0, 4), (1, 5, 4, "e", 1.0, 0, 5), (1, 6, 6, "f", 1.0, 0, 6)]
+    beside = [(1, 7, None, "a", 1.0, 0, 7), (1, 8, 7, "b", 1.0, 0, 8)]
+    others = [(2, 1, None, "a", 1.0, 0, 1), (2, 2, 1, "b", 1.0, 0, 2), (3, 1, 1, "x", 1.0, 0, 1)]
+    got = {(r.trace_id, r.span_id): (r.call_path, r.depth) for r in sp.call_paths(frame(spark, loop + under + beside + others)).collect()}
+    assert got == {
+        (1, 1): ("cyclic#a", None), (1, 2): ("cyclic#b", None), (1, 3): ("cyclic#c", None), (1, 4): ("cyclic#d", None),
+        (1, 5): ("cyclic#e", None), (1, 6): ("cyclic#f", None), (1, 7): ("start#a", 1), (1, 8): ("start#a#b", 2),
+        (2, 1): ("start#a", 1), (2, 2): ("start#a#b", 2), (3, 1): ("cyclic#x", None),
+    }
+
+
+def test_a_parent_with_very_many_children(spark):
+    many = spark.range(30_000).selectExpr("1L as trace_id", "id + 2 as span_id", "1L as parent_span_id", "'c' as service", "1.0D as duration", "0L as status", "id as ts")
+    spans = many.union(frame(spark, [(1, 1, None, "a", 1.0, 0, 0), (1, 50_000, 7, "d", 1.0, 0, 9)]))
+    got = sp.call_paths(spans)
+    assert got.count() == 30_002 and got.filter("call_path = 'start#a#c'").count() == 30_000
+    assert got.filter("span_id = 50000").first().call_path == "start#a#c#d"
 
 
 def vectors(spark, data):
