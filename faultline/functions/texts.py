@@ -91,3 +91,54 @@ def knowledge_paragraph(totals: DataFrame, flags: DataFrame) -> DataFrame:
         F.lit("\nServices: "), F.array_join(services, ", "),
     )
     return rows.select("incident_id", text.alias("text"))
+
+
+#: a whole string, one structural character, a literal, white space, or a quote that nothing closes
+_JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^"{}\[\],:\s]+|\s+|"'
+
+
+def repaired_json(text: Column) -> Column:
+    """The text of a JSON object or array that was cut off, closed behind its last complete value.
+
+    Tokens run through an automaton that keeps the brackets still open and, for objects, whether a key or a value
+    is next. A value is complete at its end quote or bracket, a number or word only when something follows it; what
+    stands behind the last complete value, a key without its value included, is dropped, and open brackets are
+    closed. A whole text stays as it is, up to its end. Null if nothing was opened.
+    """
+    start = F.struct(
+        F.lit(0).alias("at"),
+        F.lit("").alias("open"),
+        F.lit("v").alias("next"),
+        F.lit(False).alias("over"),
+        F.lit(0).alias("end"),
+        F.lit("").alias("closers"),
+    )
+
+    def step(s: Column, token: Column) -> Column:
+        first, at = F.substring(token, 1, 1), s["at"] + F.char_length(token)
+        lone = token == '"'
+        opening = F.when(token == "{", "}").when(token == "[", "]")
+        closing = token.isin("}", "]")
+        space = F.trim(token, F.lit(" \t\n\r")) == ""
+        string = (first == '"') & ~lone
+        still = F.when(opening.isNotNull(), F.concat(opening, s["open"])).when(closing, F.substring(s["open"], F.lit(2), F.char_length(s["open"]))).otherwise(s["open"])
+        expected = (
+            F.when(token == "{", "k").when((token == "[") | (token == ":"), "v").when(closing, "")
+            .when(token == ",", F.when(s["open"].startswith("}"), "k").otherwise("v"))
+            .when(string, F.when(s["next"] == "k", ":").otherwise(""))
+            .when(space, F.when(s["next"] == "word", "").otherwise(s["next"]))
+            .otherwise("word")
+        )
+        here = opening.isNotNull() | closing | (string & (s["next"] == "v"))
+        before = ((token == ",") | space) & s["next"].isin("word", "") & (F.char_length(s["open"]) > 0)
+        over = s["over"] | lone | (closing & (F.char_length(still) == 0))
+        moved = F.struct(
+            at.alias("at"), still.alias("open"), expected.alias("next"), over.alias("over"),
+            F.when(here, at).when(before, s["at"]).otherwise(s["end"]).alias("end"),
+            F.when(here, still).when(before, s["open"]).otherwise(s["closers"]).alias("closers"),
+        )
+        return F.when(s["over"] | lone, F.struct(s["at"], s["open"], s["next"], F.lit(True).alias("over"), s["end"], s["closers"])).otherwise(moved)
+
+    tokens = F.regexp_extract_all(text, F.lit(_JSON_TOKEN), 0)
+    done = F.transform(F.array(F.aggregate(tokens, start, step)), lambda s: F.when(s["end"] > 0, F.concat(F.substring(text, F.lit(1), s["end"]), s["closers"])))
+    return F.get(done, F.lit(0))

@@ -308,6 +308,27 @@ def f6(t):
     return t.events.select("event_id", F.from_json(embedded_json(text), "k int")["k"].alias("k"))
 
 
+@query(
+    "f6_truncated_json",
+    """d AS (SELECT event_id, event_type, CAST(props->>'k' AS INTEGER) AS k, user_id FROM ev),
+e AS (SELECT *, event_id % (length('{"event":"' || event_type || '","k":' || k || ',"user":' || user_id || ',"note":"cut"}') + 1) AS n,
+  11 + length(event_type) AS e1 FROM d),
+f AS (SELECT *, e1 + 5 + length(CAST(k AS VARCHAR)) AS k1 FROM e)
+SELECT event_id, CASE WHEN n >= e1 THEN event_type END AS event, CASE WHEN n >= k1 + 1 THEN k END AS k,
+  CASE WHEN n >= k1 + 9 + length(CAST(user_id AS VARCHAR)) THEN user_id END AS user FROM f""",
+)
+def f6_cut(t):
+    from faultline.functions.texts import repaired_json
+
+    # every document is cut somewhere; the pairs that are whole must come back
+    k = F.from_json("props", "k int")["k"]
+    parts = [F.lit('{"event":"'), "event_type", F.lit('","k":'), k, F.lit(',"user":'), "user_id", F.lit(',"note":"cut"}')]
+    docs = t.events.select("event_id", F.concat(*[F.col(c) if isinstance(c, str) else c.cast("string") for c in parts]).alias("doc"))
+    n = (F.col("event_id") % (F.char_length("doc") + 1)).cast("int")
+    got = F.from_json(repaired_json(F.substring("doc", F.lit(1), n)), "event string, k int, user long")
+    return docs.select("event_id", got.alias("j")).select("event_id", "j.event", "j.k", "j.user")
+
+
 @query(
     "f10_agent_names",
     "SELECT event_id, CASE event_type WHEN 'click' THEN 'TraceExpert' WHEN 'view' THEN 'RootCauseExpert' ELSE event_type END AS agent FROM ev",

@@ -1,3 +1,4 @@
+import json
 import math
 from collections import Counter
 
@@ -94,3 +95,50 @@ def test_budget_keeps_the_crossing_row(spark):
     df = spark.createDataFrame([(1, i, "x" * 40) for i in range(10)], "incident_id int, i int, m string")
     assert logs.within_budget(df, ["incident_id"], ["i"], "m", 100).count() == 3
     assert logs.within_budget(df, ["incident_id"], ["i"], "m", 100, over_by_one=False).count() == 2
+
+
+DOCUMENTS = [
+    {"vote": "X", "n": 12, "ranking": ["a", 'b"c', "]"], "o": {"p": True, "q": None}},
+    {"a": "", "b": [], "c": {}, "d": [[1, 2], [3]], "e": -1.5e3},
+    {"text": "tab\t and \\\\ and {[,:]}", "u": "é😀", "k\"ey": "v"},
+    {},
+    {"one": 1},
+    {"nested": {"x": {"y": {"z": ["deep", {"w": False}]}}}, "after": "end"},
+    {"spaces  in key": " , ", "m": [True, False, None]},
+    {"long": "word " * 200, "then": 5},
+    {"numbers": [0, 10, 100], "s": "}"},
+    {"quote": '\\\\"', "last": "x"},
+]
+
+
+def holds(part, whole):
+    """part is whole, or whole cut inside its last container."""
+    if isinstance(part, dict) and isinstance(whole, dict):
+        keys = list(whole)[: len(part)]
+        return list(part) == keys and all(part[k] == whole[k] for k in keys[:-1]) and all(holds(part[k], whole[k]) for k in keys[-1:])
+    if isinstance(part, list) and isinstance(whole, list):
+        return part[:-1] == whole[: max(0, len(part) - 1)] and all(holds(a, b) for a, b in zip(part[-1:], whole[len(part) - 1 :]))
+    return part == whole
+
+
+def test_every_prefix_of_a_document_gives_its_whole_pairs(spark):
+    from faultline.functions.texts import repaired_json
+
+    rows = []
+    for d, doc in enumerate(DOCUMENTS):
+        for text in (json.dumps(doc), json.dumps(doc, ensure_ascii=False, indent=1)):
+            rows += [(d, i, len(text), text[:i]) for i in range(len(text) + 1)]
+    df = spark.createDataFrame(rows, "d int, i int, n int, text string").repartition(4)
+    for r in df.withColumn("fixed", repaired_json(F.col("text"))).collect():
+        if r.fixed is None:
+            assert "{" not in r.text
+            continue
+        got = json.loads(r.fixed)
+        assert holds(got, DOCUMENTS[r.d]), r
+        if r.i == r.n:
+            assert got == DOCUMENTS[r.d]
+        # a pair whose value a comma follows at the top is whole
+        whole = [k for j, k in enumerate(DOCUMENTS[r.d]) if len(got) > j + 1]
+        assert all(got[k] == DOCUMENTS[r.d][k] for k in whole)
+    odd = spark.createDataFrame([(None,), ("",), ("no json",), ('{"a": "b"} tail "',)], "text string")
+    assert [r[0] for r in odd.select(repaired_json(F.col("text"))).collect()] == [None, None, None, '{"a": "b"}']
