@@ -32,18 +32,6 @@ CONTAINER_KPIS = [
     "container_fs_writes_MB",
     "container_fs_io_current",
 ]
-KEY_CONTAINER_KPIS = [
-    "container_cpu_usage_seconds",
-    "container_memory_usage_MB",
-    "container_memory_working_set_MB",
-    "container_memory_rss",
-    "container_network_receive_MB",
-    "container_network_transmit_MB",
-    "container_network_receive_errors",
-    "container_network_transmit_errors",
-    "container_fs_usage_MB",
-    "container_fs_io_current",
-]
 KEY_NODE_KPIS = [
     "system.cpu.iowait",
     "system.cpu.system",

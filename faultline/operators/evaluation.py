@@ -12,6 +12,7 @@ from faultline.operators.scale import global_running_sum
 # fixed values
 BOOTSTRAPS = 10_000
 ABSENT = 99
+#: all steps that a draw from 32 bits can reach: more than 12 is rarer than 2 ** -32
 POISSON_STEPS = 12
 TEMPERATURES = [math.exp(math.log(0.05) + i * (math.log(50.0) - math.log(0.05)) / 119) for i in range(120)]
 
