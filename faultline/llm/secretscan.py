@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +21,14 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: lengths of hexadecimal digests in common use
 DIGESTS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
-#: words, capitalised words, short abbreviations or numbers joined by _ - / or nothing
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]{1,5}|(?<![A-Za-z])[0-9]{1,12}|[0-9]{1,2}(?![0-9A-Za-z])|[_/=+-]+)+")
+#: camel and snake parts of a string: words, capitals or numbers
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+ABBREVIATION = re.compile(r"(?:(?<=[_/=+-])|^)(?:[A-Z]{2,5}|[A-Za-z])(?=[_/=+-]|$)")
+#: what may be one rare or foreign word; it has to be this much worse than the ratio asks
+ONE_WORD = re.compile(r"[A-Z]?[a-z]+")
+ONE_WORD_SHARE = 0.9
+#: letters of the shortest part that counts as a word, digits of the longest run inside an identifier
+WORD_LETTERS, NUMBER_DIGITS = 3, 12
 #: random strings have fewer characters per token than this
 RATIO = 2.2
 
@@ -38,13 +44,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def looks_known(s: str) -> bool:
-    """Digests, UUIDs and identifiers made of words and numbers."""
+def looks_known(s: str, count_tokens: Callable[[str], int], ratio: float) -> bool:
+    """Digests, UUIDs, numbers, and identifiers: strings whose camel or snake parts are words.
+
+    A word has three letters or more and compresses as well as text does. Two to five capitals
+    or one letter between separators are an abbreviation; runs of up to 12 digits may stand between words as long as letters prevail.
+    """
     if len(s) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) or UUID.fullmatch(s):
         return True
-    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+    parts = PART.findall(ABBREVIATION.sub("", s))
+    letters = [p for p in parts if not p.isdigit()]
+    digits = [len(p) for p in parts if p.isdigit()]
+    if not letters:
         return True
-    return IDENTIFIER.fullmatch(s) is not None
+    if max(digits, default=0) > NUMBER_DIGITS or sum(digits) >= sum(map(len, letters)):
+        return False
+    return all(len(p) >= WORD_LETTERS and len(p) >= ratio * min(count_tokens(p), count_tokens(" " + p.lower())) for p in letters)
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], count_tokens, ratio: float) -> list[tuple[int, int, int]]:
@@ -52,7 +67,8 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], count_tokens, rat
     found = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if looks_known(s) or len(s) >= ratio * count_tokens(s):
+        own = ratio * ONE_WORD_SHARE if ONE_WORD.fullmatch(s) else ratio
+        if len(s) >= own * count_tokens(s) or looks_known(s, count_tokens, ratio):
             continue
         if all(m.end() <= a or b <= m.start() for a, _, b in taken):
             found.append((m.start(), 3, m.end()))
