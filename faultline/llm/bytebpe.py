@@ -11,37 +11,49 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from faultline.llm.textscan import slices, span_hashes
+from faultline.llm.textscan import slices
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
-#: words kept between slices before the table is begun anew
-KEEP_WORDS = 250_000
+#: words, and bytes of words, kept between slices before the table is begun anew
+KEEP_WORDS = 1_000_000
+KEEP_BYTES = 32 << 20
 #: bytes of text worked on at once
-SLICE = 1 << 20
-_CLASSES: list[np.ndarray] = []
+SLICE = 2 << 20
+_RANGES: list[tuple[int, int, int]] = []
+_CACHES: dict[str, WordCache] = {}
 
 
-def char_classes() -> np.ndarray:
-    """Class of every code point: letter, number, white space or other."""
-    if not _CLASSES:
-        import regex
+def char_ranges() -> list[tuple[int, int, int]]:
+    """(class, first, last) of all letters, numbers and white space, as the tokenizers library sees them.
+
+    The library has its own edition of Unicode, so it is asked itself, once in a process.
+    """
+    if not _RANGES:
+        from tokenizers import Regex, pre_tokenizers
 
         chars = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        table = np.full(0x110000, OTHER, np.uint8)
-        for cls, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-            for m in regex.finditer(pattern, chars):
-                lo, hi = (x if x < 0xD800 else x + 0x800 for x in (m.start(), m.end() - 1))
-                table[lo : hi + 1] = cls
-        _CLASSES.append(table)
-    return _CLASSES[0]
+        for cls, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            runs = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(chars)
+            _RANGES.extend((cls, *(x if x < 0xD800 else x + 0x800 for x in (lo, hi - 1))) for _, (lo, hi) in runs)
+    return _RANGES
 
 
-def cuts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def char_classes(ranges: list[tuple[int, int, int]]) -> np.ndarray:
+    """Class of every code point: letter, number, white space or other."""
+    table = np.full(0x110000, OTHER, np.uint8)
+    for cls, lo, hi in ranges:
+        table[lo : hi + 1] = cls
+    return table
+
+
+def cuts(points: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Starts of the words of the texts: contractions, then letters, numbers or others with one space
     before them, then white space without the last character that goes with what follows."""
     n = len(points)
-    cls = char_classes()[points]
+    cls = classes[points]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     start = first[:n].copy()
@@ -65,9 +77,9 @@ def cuts(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    """Ids of texts; made once in a task."""
+    """Ids of texts; made once in a worker. ``ranges``: what ``char_ranges`` gave, so that a task need not ask."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranges: list[tuple[int, int, int]] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         from tokenizers import Tokenizer
 
@@ -77,11 +89,12 @@ class WordCache:
         self.by_word = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         )
+        self.classes = char_classes(ranges or char_ranges()) if self.by_word else None
         self.marks = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self._begin()
 
     def _begin(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.lengths = np.empty(0, np.int64)
         self.pool = np.empty(0, np.uint32)
 
@@ -98,23 +111,28 @@ class WordCache:
         n_texts = len(offsets) - 1
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(n_texts, np.int64)
-        text = raw.decode()
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        if len(points) != len(data):
-            chars = np.zeros(len(data) + 1, np.int64)
-            np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
-            offsets = chars[offsets]
-        starts = cuts(points, offsets)
-        ends = np.append(starts[1:], len(points))
-        distinct, at, which = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > KEEP_WORDS:
+        points, char_offsets = data, offsets
+        at = None
+        if (data >= 128).any():
+            points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+            at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+            char_offsets = np.searchsorted(at, offsets)
+        starts = cuts(points, char_offsets, self.classes)
+        if at is not None:
+            starts = at[starts]
+        # the words tile the text, so its bytes are the values of an Arrow column of words
+        tiles = pa.py_buffer(np.append(starts, len(data)))
+        words = pa.LargeStringArray.from_buffers(len(starts), tiles, pa.py_buffer(raw)).dictionary_encode()
+        which, distinct = words.indices.to_numpy(), words.dictionary
+        if len(self.known) > KEEP_WORDS or self.known.nbytes > KEEP_BYTES:
             self._begin()
-        place = np.fromiter(map(lambda h: self.known.get(h, -1), distinct.tolist()), np.int64, len(distinct))
+        place = pc.index_in(distinct, self.known).fill_null(-1).to_numpy().astype(np.int64)
         new = np.flatnonzero(place < 0)
         if len(new):
-            found = self._whole([text[starts[i] : ends[i]] for i in at[new]])
-            place[new] = np.arange(len(new)) + len(self.lengths)
-            self.known.update(zip(distinct[new].tolist(), place[new].tolist(), strict=True))
+            fresh = distinct.take(pa.array(new))
+            found = self._whole(fresh.to_pylist())
+            place[new] = np.arange(len(new)) + len(self.known)
+            self.known = pa.concat_arrays([self.known, fresh])
             self.lengths = np.concatenate((self.lengths, np.fromiter(map(len, found), np.int64, len(found))))
             self.pool = np.concatenate((self.pool, np.array([i for x in found for i in x], np.uint32)))
         begins = np.cumsum(self.lengths) - self.lengths
@@ -126,6 +144,14 @@ class WordCache:
         return ids, per_text.astype(np.int64)
 
 
+def word_cache(path: str, ranges: list[tuple[int, int, int]]) -> WordCache:
+    """The cache of this worker process, kept for the tasks after this one."""
+    if path not in _CACHES:
+        _CACHES.clear()
+        _CACHES[path] = WordCache(path, ranges)
+    return _CACHES[path]
+
+
 def encode_slices(cache: WordCache, data: np.ndarray, offsets: np.ndarray):
     """First and end row, ids and counts for slices of bounded size."""
     for lo, hi in slices(offsets, SLICE):

@@ -34,7 +34,7 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
     data, offsets = text_buffer(column)
     for lo, hi in slices(offsets):
         part = lower_ascii(data[offsets[lo] : offsets[hi]])
-        spans = word_spans(part, offsets[lo : hi + 1] - offsets[lo], WORD_BYTES)
+        spans = word_spans(part, offsets[lo : hi + 1] - offsets[lo], WORD_BYTES, split_unspaced=True)
         yield lo, hi, part, span_hashes(part, spans[0], spans[1]), spans
 
 

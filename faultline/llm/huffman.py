@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.bytebpe import WordCache, encode_slices
+from faultline.llm.bytebpe import char_ranges, encode_slices, word_cache
 from faultline.llm.store import stored
 from faultline.llm.textscan import text_buffer
 from faultline.operators.scale import global_index, global_running_sum
@@ -144,8 +144,10 @@ def _ordered_runs(docs: DataFrame) -> bool:
 
 
 def _token_blocks(path: str, end_id: int):
+    ranges = char_ranges()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, number = WordCache(path), TaskContext.get().partitionId() << 33
+        cache, number = word_cache(path, ranges), TaskContext.get().partitionId() << 33
         small = cache.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)

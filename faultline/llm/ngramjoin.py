@@ -52,8 +52,12 @@ def _ordered(tokens: np.ndarray, rows: np.ndarray, n_rows: int, order: int, clas
     key |= place >> np.uint64(row_bits + 6)
     by = np.argsort(key)
     tokens, rows, key = tokens[by], rows[by], key[by]
+    same = key[1:] == key[:-1]
+    if (same & (tokens[1:] != tokens[:-1])).any():  # the key holds a part of the hash only
+        by = np.lexsort((tokens, key))
+        tokens, rows = tokens[by], rows[by]
     new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
+    new[1:] = ~same | (tokens[1:] != tokens[:-1])
     tokens, rows = tokens[new], rows[new]
     sizes = np.bincount(rows, minlength=n_rows)
     rank = np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows]

@@ -13,19 +13,16 @@ import pyarrow as pa
 
 #: bytes of text worked on at once; a longer single text is worked on alone
 SLICE_BYTES = 2 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.RandomState(7).randint(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_POWERS: dict[int, np.ndarray] = {}
+_TABLE = np.random.RandomState(7).randint(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
+_PLACES: list[np.ndarray] = [np.empty(0, np.uint64)]
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    known = _POWERS.get(base)
-    if known is None or len(known) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-        steps[0] = 1
-        known = _POWERS[base] = np.multiply.accumulate(steps)
-    return known[:n]
+def _places(n: int) -> np.ndarray:
+    """An odd random number for every place in a word; unlike powers of one base they have no pattern."""
+    if len(_PLACES[0]) < n:
+        steps = np.arange(max(n, 2 * len(_PLACES[0]), 1 << 10), dtype=np.uint64)
+        _PLACES[0] = mix(steps * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+    return _PLACES[0]
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,13 +56,36 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 WORD_BYTES = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every run of word bytes: any but space, tab, LF, VT, FF and CR by default."""
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Where a character of a script written without spaces begins, in UTF-8: Thai, Lao, Burmese, Khmer,
+    kana and ideographs. Its length follows from its first byte."""
+    second = np.append(data[1:], 0)
+    within = lambda lo, hi: (second >= lo) & (second <= hi)
+    return (
+        ((data >= 0xE3) & (data <= 0xE9))
+        | ((data == 0xE0) & within(0xB8, 0xBB))
+        | ((data == 0xE1) & (within(0x80, 0x82) | within(0x9E, 0x9F)))
+        | ((data == 0xEF) & within(0xA4, 0xAB))
+        | ((data == 0xF0) & within(0xA0, 0xBF))
+    )
+
+
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray | None = None, split_unspaced: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of word bytes: any but space, tab, LF, VT, FF and CR by default.
+
+    With ``split_unspaced`` every character of a script without spaces is a word of its own.
+    """
     inside = np.empty(len(data) + 1, bool)
     inside[:-1] = ~((data == 32) | ((data >= 9) & (data <= 13))) if word_bytes is None else word_bytes[data]
     inside[-1] = False
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
+    if split_unspaced and (data >= 0xE0).any():
+        alone = np.flatnonzero(unspaced(data))
+        first[alone] = True
+        first[np.minimum(alone + np.where(data[alone] >= 0xF0, 4, 3), len(data))] = True
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
@@ -85,13 +105,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes or code points; equal spans have equal hashes wherever they stand."""
+    """64-bit hashes of ascending spans of bytes; equal spans have equal hashes wherever they stand.
+
+    Every byte counts by its value times a random number for its place in the span, so texts built by a
+    rule are as unlikely to meet as any others.
+    """
     if not len(starts):
         return np.empty(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    each = _TABLE[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64) + np.uint64(_BASE))
-    np.cumsum(each * _powers(_BASE, len(data)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data))[starts]
+    lo = int(starts[0])
+    until_next = np.diff(starts, append=len(data))
+    place = np.arange(lo, len(data)) - np.repeat(starts, until_next)
+    sums = np.zeros(len(data) - lo + 1, np.uint64)
+    np.cumsum(_TABLE[data[lo:]] * _places(int(until_next.max()))[place], out=sums[1:])
+    value = sums[ends - lo] - sums[starts - lo]
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from faultline.llm import decontam, huffman, ibltdiff, linededup, ngramjoin, pieces, secretscan, styletree, toxchain, urltrees
 from faultline.llm.bytebpe import WordCache
 from faultline.llm.components import components
-from faultline.llm.textscan import text_buffer
+from faultline.llm.textscan import WORD_BYTES, span_hashes, text_buffer, word_spans
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -86,6 +87,89 @@ def test_word_cuts_equal_the_library():
         assert [ids[a:b].tolist() for a, b in zip(ends - counts, ends, strict=True)] == want
 
 
+def test_every_code_point_cuts_like_the_library():
+    chars = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)] if c >= 128]
+    cache = WordCache(BPE)
+    for at in range(0, len(chars), 100_000):
+        group = ["".join(f"a{c}'s" for c in chars[i : i + 500]) for i in range(at, min(at + 100_000, len(chars)), 500)]
+        ids, counts = cache.encode(*text_buffer(pa.array(group)))
+        want = cache.tokenizer.encode_batch_fast(group, add_special_tokens=False)
+        assert ids.tolist() == [i for e in want for i in e.ids]
+
+
+def thue_morse(bits):
+    word = "ab"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", [9, 10, 12, 14])
+def test_words_built_by_a_rule_do_not_meet(bits):
+    one, two = thue_morse(bits)
+    cache = WordCache(BPE)
+    ids, counts = cache.encode(*text_buffer(pa.array([one, two, one])))
+    want = [e.ids for e in cache.tokenizer.encode_batch([one, two, one], add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    data, offsets = text_buffer(pa.array([f"x {one} {two} y", f"{one}"]))
+    hashes = span_hashes(data, *word_spans(data, offsets)[:2])
+    assert hashes[1] != hashes[2] and hashes[1] == hashes[4] and len(set(hashes.tolist())) == 4
+
+
+def test_documents_of_rule_built_words(spark):
+    one, two = thue_morse(10)
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngramjoin.ngram_jaccard(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_distinct_tokens_whose_key_bits_are_equal(monkeypatch):
+    tokens = np.random.RandomState(2).randint(0, 1 << 62, 500).astype(np.uint64)
+    rows = np.repeat(np.arange(5), 100)
+    many = np.concatenate((tokens, tokens, tokens ^ np.uint64(1)))
+    classes = np.zeros(1 << ngramjoin.BUCKET_BITS, np.uint8)
+    tokens, owner, _, sizes = ngramjoin._ordered(many, np.tile(rows, 3), 5, 0, classes)
+    assert len(tokens) == 1000 and sizes.tolist() == [200] * 5
+    monkeypatch.setattr(ngramjoin, "mix", lambda x: x >> np.uint64(40))  # other tokens, equal keys
+    tokens, owner, _, sizes = ngramjoin._ordered(many, np.tile(rows, 3), 5, 0, classes)
+    assert len(tokens) == 1000 and sizes.tolist() == [200] * 5
+
+
+def test_unspaced_scripts_are_split():
+    text = "日本語ab ไทย 한국어 é漢,x"
+    data, offsets = text_buffer(pa.array([text]))
+    starts, ends, _ = word_spans(data, offsets, WORD_BYTES, split_unspaced=True)
+    got = [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)]
+    assert got == ["日", "本", "語", "ab", "ไ", "ท", "ย", "한국어", "é", "漢", "x"]
+
+
+def test_leak_in_a_script_without_spaces(spark):
+    item = "春眠不覚暁処処聞啼鳥夜来風雨声花落知多少"
+    rnd = random.Random(4)
+    noise = ["".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(60)) for _ in range(40)]
+    rows = [*enumerate(noise), (100, noise[0] + item + noise[1]), (101, noise[2] + item.replace("風", "火") + noise[3])]
+    found = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted({r.doc_id for r in found.collect()}) == [100, 101]
+
+
+@pytest.mark.parametrize(("alphabet", "length", "share"), [("a", 16, 0.8), ("a", 32, 0.95), ("aA", 16, 0.95), ("aA1", 16, 0.95), ("A", 20, 0.95)])
+def test_random_strings_are_found(alphabet, length, share):
+    rnd, encoding = random.Random(6), secretscan._encoding(RANKS)
+    chars = "".join({"a": string.ascii_lowercase, "A": string.ascii_uppercase, "1": string.digits}[c] for c in alphabet)
+    count = lambda s: len(encoding.encode_ordinary(s))
+    found = [secretscan.random_spans("".join(rnd.choices(chars, k=length)), [], count, secretscan.RATIO) for _ in range(300)]
+    assert sum(map(bool, found)) >= share * 300
+
+
+def test_identifiers_are_no_secrets():
+    encoding = secretscan._encoding(RANKS)
+    names = ["internationalization", "getUserAccountSettings", "HTTP_PROXY_CONF_ID", "src/main/resources/app", "build-2024-11-03-final"]
+    names += ["node-12-rack-44-zone-b", "a" * 40, "-" * 30, "1234567890123456789", hashlib.md5(b"x").hexdigest()]
+    names += ["Donaudampfschifffahrt", "8f14e45f-ceea-467f-a8f0-1a2b3c4d5e6f"]
+    count = lambda s: len(encoding.encode_ordinary(s))
+    assert [n for n in names if secretscan.random_spans(n, [], count, secretscan.RATIO)] == []
+
+
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1")]
 
 
