@@ -274,27 +274,40 @@ def service_correlation(per_trace: DataFrame, entry: str) -> DataFrame:
     """Correlation of each service's self time with the entry service over all traces.
 
     per_trace is (incident_id, trace_id, service, self_time); a trace that misses a service counts
-    as 0. Sums stand in for the dense table: only traces with both services add to the product.
+    as 0. Sums stand in for the dense table: only traces with both services add to the product. The rows are
+    read once; a trace's rows, at most one per service, meet in one task.
     """
-    keys = ["incident_id", "trace_id"]
-    total = per_trace.groupBy("incident_id").agg(F.countDistinct("trace_id").alias("n"))
-    front = per_trace.filter(F.col("service") == entry).select(*keys, F.col("self_time").alias("x"))
-    fsum = front.groupBy("incident_id").agg(F.sum("x").alias("sx"), F.sum(F.col("x") ** 2).alias("sxx"))
+    trace = Window.partitionBy("incident_id", "trace_id")
+    is_entry = F.col("service") == entry
+    # x: the entry's value in the same trace; of every trace one row counts the trace itself
+    rows = per_trace.withColumn("x", F.max(F.when(is_entry, F.col("self_time"))).over(trace))
+    rows = rows.withColumn("_one", (F.row_number().over(trace.orderBy("service")) == 1).cast("long"))
+    y, own = F.col("self_time"), F.when(is_entry, F.col("self_time"))
+    sums = rows.groupBy("incident_id", "service").agg(
+        F.sum("_one").alias("_n"),
+        F.sum(own).alias("_sx"),
+        F.sum(own**2).alias("_sxx"),
+        F.sum(y).alias("sy"),
+        F.sum(y**2).alias("syy"),
+        F.coalesce(F.sum(y * F.col("x")), F.lit(0.0)).alias("sxy"),
+    )
+    # from here on one row per incident and service
+    whole = Window.partitionBy("incident_id")
     other = (
-        per_trace.filter(F.col("service") != entry)
-        .join(front, keys, "left")
-        .groupBy("incident_id", "service")
-        .agg(
-            F.sum("self_time").alias("sy"),
-            F.sum(F.col("self_time") ** 2).alias("syy"),
-            F.coalesce(F.sum(F.col("self_time") * F.col("x")), F.lit(0.0)).alias("sxy"),
+        sums.select(
+            "*",
+            F.sum("_n").over(whole).alias("n"),
+            F.max("_sx").over(whole).alias("sx"),
+            F.max("_sxx").over(whole).alias("sxx"),
+            F.max(is_entry).over(whole).alias("_entered"),
         )
+        .filter(F.col("_entered") & ~is_entry)
     )
     num = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
     vx = F.col("n") * F.col("sxx") - F.col("sx") ** 2
     vy = F.col("n") * F.col("syy") - F.col("sy") ** 2
     r = F.when(F.col("n") == 1, 1.0).when((vx > 1e-6) & (vy > 1e-6), num / F.sqrt(vx * vy)).otherwise(0.0)
-    return other.join(total, "incident_id").join(fsum, "incident_id").select("incident_id", "service", r.alias("r"))
+    return other.select("incident_id", "service", r.alias("r"))
 
 
 def service_walk(

@@ -11,6 +11,7 @@ from faultline.operators import windows as win
 from faultline.plans.registry import query
 from faultline.plans.scores import ETA, eta_channels, window_eta
 from faultline.plans.windows import MW, metric_windows
+from faultline.session import cut_lineage
 
 ENTRY_SERVICE = "svc0"
 
@@ -249,8 +250,6 @@ al AS (SELECT *, 1 AS depth FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELE
 SELECT incident_id, pos, path FROM (SELECT incident_id, path, row_number() OVER (PARTITION BY incident_id ORDER BY sr, depth, path) AS pos FROM al) WHERE pos <= 5""",
 )
 def g6(t):
-    from faultline.session import cut_lineage
-
     found = cut_lineage(links(t))
     degree = (
         found.select("incident_id", "src", "dst").distinct()
@@ -338,7 +337,7 @@ x0 AS (SELECT incident_id, service, 0.0 AS score FROM node),
 def g5(t):
     edges = win.spans_in_windows(sp.with_parent(t.spans).filter("link = 'child'"), t.fault_windows)
     pairs = edges.select("incident_id", F.col("parent_service").alias("src"), F.col("service").alias("dst")).distinct()
-    rounded = self_time_correlation(t).withColumn("r", r6("r"))  # sums of weights near 0 must not hang on the order of rows
+    rounded = cut_lineage(self_time_correlation(t).withColumn("r", r6("r")))  # sums of weights near 0 must not hang on the order of rows
     return causal.service_walk(pairs, rounded, ENTRY_SERVICE).withColumn("score", r6("score"))
 
 
