@@ -25,17 +25,13 @@ def trace_descriptions(positions: DataFrame, min_score: float = 2.0) -> DataFram
         F.when(above, "above").otherwise("below"),
         F.lit(" the normal limit by "), excess, F.lit(" ms"),
     )
-    details = (
-        positions.filter("out")
-        .groupBy("trace_id")
-        .agg(F.array_sort(F.collect_list(F.struct("call_path", piece.alias("piece")))).alias("d"))
-        .select("trace_id", F.array_join("d.piece", "; ").alias("details"))
-    )
-    verdicts = trace_verdicts(positions, min_score).filter("verdict <> 'none'")
+    listed = F.array_sort(F.collect_list(F.when(F.col("out"), F.struct("call_path", piece.alias("piece")))))
+    verdicts = trace_verdicts(positions, min_score, listed.alias("d")).filter("verdict <> 'none'")
+    details = F.array_join("d.piece", "; ")
     text = F.when(
         F.col("verdict") == "structural", F.concat(F.lit("structural anomaly, trace "), "trace_id")
-    ).otherwise(F.concat(F.lit("call timeout, trace "), "trace_id", F.lit(": "), "details"))
-    return verdicts.join(details, "trace_id", "left").select("trace_id", text.alias("description"))
+    ).otherwise(F.concat(F.lit("call timeout, trace "), "trace_id", F.lit(": "), details))
+    return verdicts.select("trace_id", text.alias("description"))
 
 
 def embedded_json(text: Column) -> Column:

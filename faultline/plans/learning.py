@@ -25,8 +25,7 @@ FIELDS = [f"{s}_{f}" for s in SERVICES for f in ("duration", "status", "self_tim
 def labelled_traces(t):
     """Trace vectors of all incident windows with label (fault service visited) and root service."""
     if not hasattr(t, "labelled_traces"):
-        spans = sp.with_self_time(sp.call_paths(t.spans), clip=False)
-        vectors = sp.trace_vectors(spans, SERVICES)
+        vectors = sp.trace_vectors(sp.timed_paths(t.spans), SERVICES)
         visits = t.window_spans.groupBy("incident_id", "trace_id").agg(
             F.max((F.col("service") == F.col("fault_service")).cast("double")).alias("label"),
             F.min("fault_service").alias("root"),
