@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -54,38 +54,56 @@ def assembled_traces(spans: DataFrame, delay: str, gap: str = TRACE_GAP) -> Data
     )
 
 
-def fault_enrichment(
-    spans: DataFrame, faults: DataFrame, delay: str, half: int = FAULT_SECONDS
-) -> DataFrame:
-    """Spans within ``half`` seconds of a fault of their service.
+def fault_slots(spans: DataFrame, faults: DataFrame, delay: str, half: int = FAULT_SECONDS) -> DataFrame:
+    """(service, slot, fault_ts): faults in every slot of ``2 * half`` seconds within their reach that holds spans of
+    their service.
 
-    The time bucket in the join key spreads a busy service over many tasks; the range condition
-    with both watermarks lets Spark drop old state.
+    Both streams are reduced to distinct slots and moments before they meet, so neither the state nor what is
+    written grows with the pairs of spans and faults. The slots carry the watermarks, which lets Spark drop old
+    state. ``span_faults`` lists the pairs.
     """
-    width = 2 * half
-    bucket = lambda c: F.floor(F.unix_seconds(c) / width)
-    left = spans.withWatermark("ts", delay).withColumn("bucket", bucket(F.col("ts")))
-    near = F.timestamp_seconds
-    right = (
-        faults.withWatermark("fault_ts", delay)
-        .withColumn(
-            "fault_bucket",
-            F.explode(
-                F.sequence(
-                    bucket(near(F.unix_seconds("fault_ts") - half)), bucket(near(F.unix_seconds("fault_ts") + half))
-                )
-            ),
-        )
-        .withColumnRenamed("service", "fault_service")
-    )
+    late = f"{delay} {2 * half} seconds"  # a slot begins up to its width before its rows
+    left = spans.select("service", slot(F.unix_seconds("ts"), half).alias("slot")).withWatermark("slot", late)
+    right = with_slots(faults.select(F.col("service").alias("fault_service"), "fault_ts"), half, "fault_slot")
+    right = right.withWatermark("fault_slot", late).dropDuplicates(["fault_service", "fault_slot", "fault_ts"])
+    same = (F.col("service") == F.col("fault_service")) & (F.col("slot") == F.col("fault_slot"))
+    return left.dropDuplicates(["service", "slot"]).join(right, same).select("service", "slot", "fault_ts")
+
+
+def slot(seconds: Column, half: int) -> Column:
+    """The start of the slot that a time lies in."""
+    return F.timestamp_seconds(F.floor(seconds / (2 * half)) * (2 * half))
+
+
+def with_slots(faults: DataFrame, half: int, name: str) -> DataFrame:
+    """One row per fault and slot that times within ``half`` seconds of it lie in."""
+    width, at = 2 * half, F.unix_seconds("fault_ts")
+    starts = F.sequence(F.floor((at - half) / width), F.floor((at + half) / width))
+    return faults.withColumn(name, F.explode(starts)).withColumn(name, F.timestamp_seconds(F.col(name) * width))
+
+
+def span_faults(spans: DataFrame, faults: DataFrame, slots: DataFrame, half: int = FAULT_SECONDS) -> DataFrame:
+    """(event_id, trace_id, span_id, n): all reports of a span with all faults of its service in ``slots`` that are
+    within ``half`` seconds.
+
+    Reports are merged before they meet faults. An event id that stands in one row gives every span once, so
+    these pairs go to the reader as they come; only those of repeated ids are merged by a shuffle.
+    """
+    reports = spans.groupBy("trace_id", "span_id", "service", "ts").agg(F.count("*").alias("n"))
+    reports = reports.withColumn("slot", slot(F.unix_seconds("ts"), half))
+    times = faults.groupBy("event_id").agg(F.count("*").alias("times"))
+    repeated = not times.filter("times > 1").isEmpty()
+    if repeated:
+        times = times.withColumnRenamed("event_id", "_id")
+        faults = faults.join(times, F.col("event_id").eqNullSafe(F.col("_id"))).drop("_id")
     reach = F.expr(f"INTERVAL {half} SECONDS")
-    cond = (
-        (F.col("bucket") == F.col("fault_bucket"))
-        & (F.col("service") == F.col("fault_service"))
-        & (F.col("ts") >= F.col("fault_ts") - reach)
-        & (F.col("ts") < F.col("fault_ts") + reach)
-    )
-    return left.join(right, cond).drop("bucket", "fault_bucket", "fault_service")
+    near = (F.col("ts") >= F.col("fault_ts") - reach) & (F.col("ts") < F.col("fault_ts") + reach)
+    pairs = reports.join(faults.join(slots, ["service", "fault_ts"]), ["service", "slot"]).filter(near)
+    keys = ["event_id", "trace_id", "span_id"]
+    if not repeated:
+        return pairs.select(*keys, "n")
+    merged = pairs.filter("times > 1").groupBy(*keys).agg(F.sum("n").alias("n"))
+    return pairs.filter("times = 1").select(*keys, "n").union(merged)
 
 
 def rolling_accuracy(cases: DataFrame, delay: str, width: str = "1 day") -> DataFrame:

@@ -48,3 +48,28 @@ def test_state_survives_several_batches(spark, tmp_path):
     out = spark.read.parquet(live.run_available(live.live_thresholds(rows), "test")).orderBy("ts").collect()
     ups, _, _ = tail_limits(v, 30, 1e-3, 10, False)
     assert [r.threshold for r in out] == pytest.approx(ups)
+
+
+def test_pairs_of_spans_and_faults_are_not_shuffled(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    reports = [(at(s % 900), 1 + s // 2, s % 2, f"svc{s % 3}") for s in range(1500)] + [(at(100), 51, 0, "svc1")] * 2
+    found = [(at(40 * k + 0.5 * (k % 2)), k, f"svc{k % 2}") for k in range(30)] + [(at(360), 0, "svc1"), (at(3600), 40, "svc0")]
+    spans = spark.createDataFrame(reports, "ts timestamp, trace_id long, span_id long, service string")
+    half = dt.timedelta(seconds=180)
+    for extra in ([], [(at(7), None, "svc0"), (at(9), None, "svc0")]):
+        faults = spark.createDataFrame([f for f in found if extra or f[1] != 0] + extra, "fault_ts timestamp, event_id long, service string")
+        path = tmp_path / str(len(extra))
+        left = stream(spark, str(path / "spans"), spans, spans.schema)
+        right = stream(spark, str(path / "faults"), faults, faults.schema)
+        slots = spark.read.parquet(live.run_available(live.fault_slots(left, right, "10 minutes"), "test"))
+        want, moments = {}, faults.collect()
+        for ts, trace, span, service in reports:
+            for fault_ts, event, name in moments:
+                if service == name and fault_ts - half <= ts < fault_ts + half:
+                    want[event, trace, span] = want.get((event, trace, span), 0) + 1
+        pairs = live.span_faults(spans, faults, slots)
+        assert {tuple(r)[:3]: r.n for r in pairs.collect()} == want and pairs.count() == len(want)
+        assert slots.count() <= 2 * faults.count()
+        if not extra:
+            plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+            assert not plan.startswith("Aggregate")
