@@ -1,7 +1,8 @@
 """Near-duplicate lines: MinHash of character shingles, banding, exact verification, union-find.
 
-In every bucket of a band, lines are first held against a few neighbours, then against those of shuffled
-orders. All pairs of buckets that still hold more than one component are found by an exact prefix join.
+In every bucket of a band, lines are first held against a few neighbours. Of buckets that still hold more than
+one component, small ones list all their pairs; in large ones lines are held against those of shuffled orders,
+and all pairs that are left are found by an exact prefix join.
 
 Everything here is DataFrame expressions. A line's shingles are the ``SHINGLE`` characters from every
 word start on, and from every ``STRIDE``-th character inside longer words, lower-cased.
@@ -22,6 +23,8 @@ BANDS = 6
 #: lines under this many characters are never duplicates
 MIN_CHARS = 20
 PERCENT = 80
+#: buckets up to this many lines list all their pairs
+SMALL = 64
 #: lines of one bucket that stand in one row of neighbours
 ROW = 1000
 #: rounds, and shuffled orders of a round, in which lines of different components meet neighbours before all pairs are sought
@@ -66,13 +69,24 @@ def _neighbours(buckets: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(k1, k2, hashes) of the lines at the places given (doc_id, rid, pos, k1, k2)."""
+    """(k1, k2, hashes, size, m0 ... m3) of the lines at the places given (doc_id, rid, pos, k1, k2): the shingles'
+    hashes, how many they are, and bitmaps of 256 places in all."""
     by_doc = places.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("pos", "k1", "k2")).alias("at"))
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid"))
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.rid") == F.col("b.rid"))
     rows = rows.alias("a").join(by_doc.alias("b"), same).select(F.split("a.text", "\n").alias("lines"), F.explode("b.at").alias("at"))
     rows = rows.select("at.k1", "at.k2", F.get("lines", F.col("at.pos")).alias("line")).dropDuplicates(["k1", "k2"])
-    return rows.select("k1", "k2", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("hashes"))
+    rows = rows.select("k1", "k2", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("hashes"))
+    maps = [f"aggregate(hashes, 0L, (a, h) -> a | if(pmod(h, 4) = {i}, shiftleft(1L, cast(pmod(shiftright(h, 2), 64) as int)), 0L))" for i in range(4)]
+    return rows.withColumns({"size": F.size("hashes")} | {f"m{i}": F.expr(m) for i, m in enumerate(maps)})
+
+
+def _possible(nu: Column | str, nv: Column | str):
+    """Whether the bitmaps m0 ... m3 of u and v allow the similarity. A place that only one of two bitmaps has stands
+    for a shingle that only that line has."""
+    only = lambda x, y: sum(F.bit_count(F.col(f"m{i}{x}").bitwiseAND(F.bitwise_not(f"m{i}{y}"))) for i in range(4))
+    most = F.least(F.col(nu) - only("u", "v"), F.col(nv) - only("v", "u"))
+    return most * (100 + PERCENT) >= (F.col(nu) + F.col(nv)) * PERCENT
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -88,7 +102,17 @@ def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     known = roots.groupBy(F.col("node.k1").alias("k1")).agg(F.min("root.k1").alias("root"))
     rows = buckets.select("k1", "band", "n").join(known, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     several = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    return stored(rows.join(several, "band"), "mixed")
+    return rows.join(several, "band")
+
+
+def _within(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of keys in different components that can be alike, of all lines of each bucket."""
+    marks = sets.select("k1", F.col("size").alias("s"), *[f"m{i}" for i in range(4)])
+    rows = mixed.select("k1", "band", "root").join(marks, "k1")
+    side = lambda x: rows.select("band", *[F.col(c).alias(f"{c}{x}") for c in rows.columns if c != "band"])
+    close = (F.col("su") * 100 >= F.col("sv") * PERCENT) & (F.col("sv") * 100 >= F.col("su") * PERCENT)
+    met = side("u").join(side("v"), "band").filter((F.col("k1u") > F.col("k1v")) & (F.col("rootu") != F.col("rootv")) & close & _possible("su", "sv"))
+    return met.select(F.col("k1u").alias("u"), F.col("k1v").alias("v")).distinct()
 
 
 def _shuffled(mixed: DataFrame, seed: int) -> DataFrame:
@@ -128,14 +152,10 @@ def _across(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     # behind the prefix that ends first, no common shingle is missed by the count
     most = F.col("shared") + F.greatest(F.col("nu") - F.col("shortu"), F.col("nv") - F.col("longv"))
     met = met.filter(most * (100 + PERCENT) >= (F.col("nu") + F.col("nv")) * PERCENT)
-    # a place that only one of two bitmaps has stands for a shingle that only that line has
-    maps = [f"aggregate(hashes, 0L, (a, h) -> a | if(pmod(h, 4) = {i}, shiftleft(1L, cast(pmod(shiftright(h, 2), 64) as int)), 0L))" for i in range(4)]
-    marks = sets.join(left.select("k1"), "k1").select("k1", *[F.expr(m).alias(f"m{i}") for i, m in enumerate(maps)])
+    marks = sets.join(left.select("k1"), "k1").select("k1", *[f"m{i}" for i in range(4)])
     for x in "uv":
         met = met.join(marks.select(F.col("k1").alias(f"k1{x}"), *[F.col(f"m{i}").alias(f"m{i}{x}") for i in range(4)]), f"k1{x}")
-    only = lambda x, y: sum(F.bit_count(F.col(f"m{i}{x}").bitwiseAND(F.bitwise_not(f"m{i}{y}"))) for i in range(4))
-    most = F.least(F.col("nu") - only("u", "v"), F.col("nv") - only("v", "u"))
-    met = met.filter(most * (100 + PERCENT) >= (F.col("nu") + F.col("nv")) * PERCENT)
+    met = met.filter(_possible("nu", "nv"))
     return met.select(F.greatest("k1u", "k1v").alias("u"), F.least("k1u", "k1v").alias("v")).distinct()
 
 
@@ -168,12 +188,15 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
         return stored(components(roots.select("node", "root").union(links), "node", "root"), "roots")
 
+    links = stored(_verified(stored(_within(_mixed(buckets.filter(F.col("n") <= SMALL), roots), sets), "within"), sets), "links")
+    roots = roots if links.isEmpty() else joined(roots, links)
+    large = buckets.filter(F.col("n") > SMALL)
     for seed in range(ROUNDS):
-        links = stored(_verified(_shuffled(_mixed(buckets, roots), seed), sets), "links")
+        links = stored(_verified(_shuffled(_mixed(large, roots), seed), sets), "links")
         if links.isEmpty():
             break
         roots = joined(roots, links)
-    links = stored(_verified(stored(_across(_mixed(buckets, roots), sets), "across"), sets), "links")
+    links = stored(_verified(stored(_across(stored(_mixed(large, roots), "mixed"), sets), "across"), sets), "links")
     roots = roots if links.isEmpty() else joined(roots, links)
 
     groups = texts.select(F.struct("k1", "k2").alias("node"), "place", "copies").join(roots, "node", "left")

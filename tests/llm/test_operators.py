@@ -386,6 +386,17 @@ def test_template_lines(spark, families):
     assert got == _dropped(lines) and len(got) == families
 
 
+def test_small_buckets_list_their_pairs(spark, monkeypatch):
+    template, left = prose(310, 40), []
+    lines = [f"{template} {prose(400 + k // 2, 13)} {'abc'[k % 2]}" for k in range(60)]
+    across = linededup._across
+    monkeypatch.setattr(linededup, "_across", lambda mixed, sets: left.append(mixed.count()) or across(mixed, sets))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id for r in linededup.dedup_lines(docs).collect() if r.n_dropped}
+    assert got == _dropped(lines) and len(got) >= 30
+    assert left == [0]  # no line of a small bucket goes through the join on shingles
+
+
 def test_secrets(spark, nothing):
     digest = hashlib.sha1(b"x").hexdigest()
     key = "zQ7xK9vB2mW5tR8yP3nL"
