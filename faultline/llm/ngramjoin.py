@@ -5,6 +5,10 @@ Jaccard similarity t or more share a token among the first ``size - ceil(t * siz
 orders put tokens that are frequent in the corpus last and differ in how they order the rest, so a pair
 has to pass the prefix test of each order before it is verified on its whole sets. The test asks not for
 one shared token but for as many as the sizes call for.
+
+A set's frequent tokens are its core, the others its own tokens. Two sets that share an own token meet under one
+in their prefixes. Sets alike without one are alike by their cores alone, so each is also alike to the set with
+the fewest own tokens of the other's core: only these represent their cores under frequent tokens.
 """
 
 from __future__ import annotations
@@ -94,7 +98,8 @@ def _set_keys(n: int):
 
 
 def _prefixes(n: int, percent: int, sent):
-    """The prefix tokens of every document under the first order."""
+    """The prefix tokens of every document under the first order, how many of them are own ones (all own tokens of a
+    document with frequent ones in its prefix), and with frequent tokens a checksum of the core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = sent.value
@@ -106,11 +111,16 @@ def _prefixes(n: int, percent: int, sent):
                 once[np.unique(key, return_index=True)[1]] = True
                 need = sizes - (percent * sizes + 99) // 100 + 1
                 keep = (rank < need[rows]) & once[rows]
-                tokens, rows = tokens[keep], rows[keep]
-                frequent = classes[(tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] > 0
+                rare = classes[(tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] == 0
+                core = _checksum(tokens, sizes, ~rare).view(np.int64)
+                own = np.minimum(np.bincount(rows[rare], minlength=hi - lo), need).astype(np.int32)
+                tokens, rows, rare = tokens[keep], rows[keep], rare[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens.view(np.int64)), pa.array(key[rows].view(np.int64)), pa.array(sizes[rows].astype(np.int32)), pa.array(frequent)],
-                    ["token", "a", "n", "frequent"],
+                    [
+                        pa.array(tokens.view(np.int64)), pa.array(key[rows].view(np.int64)), pa.array(sizes[rows].astype(np.int32)),
+                        pa.array(own[rows]), pa.array(core[rows], mask=rare),
+                    ],
+                    ["token", "a", "n", "own", "core"],
                 )
 
     return run
@@ -128,9 +138,10 @@ def _chosen(batch: pa.RecordBatch, bitmap: np.ndarray) -> tuple[pa.Array, pa.Arr
     return ids.filter(keep), batch.column(1).filter(keep)
 
 
-def _checksum(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _checksum(tokens: np.ndarray, sizes: np.ndarray, chosen: np.ndarray | None = None) -> np.ndarray:
     sums = np.zeros(len(tokens) + 1, np.uint64)
-    np.cumsum(mix(tokens * np.uint64(3) + np.uint64(3)), out=sums[1:])
+    values = mix(tokens * np.uint64(3) + np.uint64(3))
+    np.cumsum(values if chosen is None else np.where(chosen, values, np.uint64(0)), out=sums[1:])
     ends = np.cumsum(sizes)
     return sums[ends] - sums[ends - sizes]
 
@@ -185,13 +196,14 @@ def _close(n1: str, n2: str, percent: int):
     return (F.col(n1) * 100 >= F.col(n2) * percent) & (F.col(n2) * 100 >= F.col(n1) * percent)
 
 
-def _enough(shared, n1, n2, percent: int):
+def _enough(shared, n1, n2, percent: int, behind=None):
     """Whether two prefixes have so many tokens in common that the whole sets can be similar.
 
     Of two sets, the one whose prefix ends first has no further common token inside it, so all common
     tokens are the shared ones and at most those behind that prefix.
     """
-    behind = F.greatest(*[F.floor((n * percent + 99) / 100) - 1 for n in (n1, n2)])
+    if behind is None:
+        behind = F.greatest(*[F.floor((n * percent + 99) / 100) - 1 for n in (n1, n2)])
     return (shared + behind) * (100 + percent) >= (n1 + n2) * percent
 
 
@@ -248,6 +260,36 @@ def _chain(rows: DataFrame, seed: int, percent: int) -> DataFrame:
     return inner.union(outer).distinct()
 
 
+def _across(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of prefix rows with the root of their document's component: the pairs to verify across components, and links
+    that need no test as the two cores are equal and large enough."""
+
+    def side(df: DataFrame, x: str, keys: list[str]) -> DataFrame:
+        return df.select(*keys, *[F.col(c).alias(f"{c}{x}") for c in ("node", "a", "n", "own", "root", "core") if c not in keys])
+
+    def pairs(df: DataFrame, *more: str) -> DataFrame:
+        ends = ["nodeu", "au", "nu", "nodev", "av", "nv", *more]
+        return df.filter(F.col("rootu") != F.col("rootv")).filter(_close("nu", "nv", percent)).groupBy(*ends).agg(F.count("*").alias("shared"))
+
+    shared, nu, nv = F.col("shared"), F.col("nu"), F.col("nv")
+    rare, frequent = rows.filter("core is null"), rows.filter("core is not null")
+    own = pairs(side(rare, "u", ["token"]).join(side(rare, "v", ["token"]), "token").filter("nodeu > nodev"), "ownu", "ownv")
+    own = own.filter(_enough(shared, nu, nv, percent, F.greatest(nu - F.col("ownu"), nv - F.col("ownv"))))
+
+    size = (F.col("n") - F.col("own")).alias("c")
+    members = frequent.select("node", "a", "n", "own", "root", "core", size).distinct()
+    reps = members.groupBy("core", "c").agg(F.min(F.struct("own", "node", "root")).alias("rep"))
+    star = members.join(reps, ["core", "c"]).filter(F.col("root") != F.col("rep.root"))
+    star = star.filter(F.col("c") * 100 >= (F.col("c") + F.col("own") + F.col("rep.own")) * percent)
+
+    stand = frequent.join(reps.select(F.col("rep.node").alias("node")), "node", "left_semi")
+    cores = side(frequent, "u", ["token"]).join(side(stand, "v", ["token"]), "token").filter("coreu <> corev")
+    cores = pairs(cores).filter(_enough(shared, nu, nv, percent))
+    both = own.select("nodeu", "au", "nodev", "av").union(cores.select("nodeu", "au", "nodev", "av"))
+    ends = [F.struct(F.col(f"node{x}").alias("node"), F.col(f"a{x}").alias("a")).alias(f"s{x}") for x in "uv"]
+    return both.select(*ends).select(*_pair("su", "sv")).distinct(), star.select(F.col("node").alias("u"), F.col("rep.node").alias("v"))
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
@@ -275,10 +317,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     nodes = stored(keys.filter("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("node")).filter("node is not null"), "nodes")
 
-    prefixes = docs.mapInArrow(_prefixes(n, percent, sent), "token long, a long, n int, frequent boolean")
+    prefixes = docs.mapInArrow(_prefixes(n, percent, sent), "token long, a long, n int, own int, core long")
     same = Window.partitionBy("token")
-    rare = prefixes.filter("not frequent").withColumn("lo", F.min("a").over(same)).withColumn("hi", F.max("a").over(same))
-    shared = rare.filter("lo < hi").drop("lo", "hi").union(prefixes.filter("frequent")).distinct()
+    rare = prefixes.filter("core is null").withColumn("lo", F.min("a").over(same)).withColumn("hi", F.max("a").over(same))
+    shared = rare.filter("lo < hi").drop("lo", "hi").union(prefixes.filter("core is not null")).distinct()
     shared = stored(shared, "shared")
     tokens = stored(shared.join(nodes.select("a", F.col("n").cast("int").alias("n"), "node"), ["a", "n"]), "tokens")
 
@@ -298,16 +340,14 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sets = scan_of(ends, lambda b: _whole_sets(n, percent, orders, sent, b), f"node long, a long, tokens array<long>{lists}", "whole")
         return stored(_verified(possible, sets, percent, orders), "links")
 
-    lines = [_chain(tokens, seed, percent) for seed in range(LINES)]
+    marked = tokens.withColumn("frequent", F.col("core").isNotNull())
+    lines = [_chain(marked, seed, percent) for seed in range(LINES)]
     edges = linked(reduce(DataFrame.union, lines).distinct())
     roots = stored(components(edges, "u", "v"), "roots")
-    # what is left: all pairs under a common token whose ends are not yet in one component
-    rows = tokens.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node"))
-    side = lambda x: rows.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("a", "n", "root")])
-    across = (F.col("u") > F.col("v")) & (F.col("rootu") != F.col("rootv")) & _close("nu", "nv", percent)
-    rest = side("u").join(side("v"), "token").filter(across).groupBy("u", "au", "nu", "v", "av", "nv").agg(F.count("*").alias("shared"))
-    rest = rest.filter(_enough(F.col("shared"), F.col("nu"), F.col("nv"), percent)).select("u", "au", "v", "av")
-    edges = edges.union(linked(rest))
+    # what is left: pairs whose ends are not yet in one component
+    rows = tokens.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+    rest, star = _across(rows, percent)
+    edges = edges.union(linked(rest)).union(star)
     roots = stored(components(edges, "u", "v"), "roots")
 
     own = keys.join(nodes, ["n", "a", "b"], "left").join(roots, "node", "left")
