@@ -5,6 +5,10 @@ Jaccard similarity t or more share a token among the first ``size - ceil(t * siz
 orders put tokens that are frequent in the corpus last and differ in how they order the rest, so a pair
 has to pass the prefix test of each order before it is verified on its whole sets. The test asks not for
 one shared token but for as many as the sizes call for.
+
+Neighbours in shuffled lines and the document in which a token stands first in order are tried first. Pairs that
+are then still in different components are sought under every token by how far it stands from the start of
+either set: at the first common token of a pair, what is left of the sets bounds what they have in common.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ SALTS = 64
 BINS = 256
 #: lines in which each document is held against its neighbours before all pairs across components are
 LINES = 2
+#: documents under one token up to which all their pairs are listed; beyond, first the pairs of sizes and ranks
+SMALL = 16
 
 
 def _token_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -109,8 +115,8 @@ def _prefixes(n: int, percent: int, sent):
                 tokens, rows = tokens[keep], rows[keep]
                 frequent = classes[(tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] > 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens.view(np.int64)), pa.array(key[rows].view(np.int64)), pa.array(sizes[rows].astype(np.int32)), pa.array(frequent)],
-                    ["token", "a", "n", "frequent"],
+                    [pa.array(x) for x in (tokens.view(np.int64), key[rows].view(np.int64), sizes[rows].astype(np.int32), rank[keep].astype(np.int32), frequent)],
+                    ["token", "a", "n", "rank", "frequent"],
                 )
 
     return run
@@ -248,6 +254,56 @@ def _chain(rows: DataFrame, seed: int, percent: int) -> DataFrame:
     return inner.union(outer).distinct()
 
 
+def _hubs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of every document and the one in which a token stands nearest to the start, so that has the fewest
+    tokens of its own. Documents that share most of their tokens and differ in the rest meet there."""
+    first = rows.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("rank", "n", "node", "a")).alias("x")).filter("m > 2")
+    first = first.select("token", F.struct("x.node", "x.a").alias("s2"), F.col("x.n").alias("n2"))
+    met = rows.select("token", F.struct("node", "a").alias("s"), "n").join(first, "token")
+    return met.filter((F.col("s") != F.col("s2")) & _close("n", "n2", percent)).select(*_pair("s", "s2")).distinct()
+
+
+def _ahead(percent: int):
+    """Whether two sets of nu and nv tokens can be similar if the token at their ranks is the first they have in common."""
+    left = F.least(F.col("nu") - F.col("ranku"), F.col("nv") - F.col("rankv"))
+    return left * (100 + percent) >= (F.col("nu") + F.col("nv")) * percent
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes in different components that can be similar, of rows (token, node, a, n, rank, root).
+
+    All pairs under tokens of few documents are listed, and counted by what they share.
+    Under a token of many documents, first the sizes, ranks and numbers of such tokens that stand there are paired,
+    however many documents have them, and then the documents of those pairs that allow the similarity if the pair
+    shares no token of few documents.
+    """
+    mixed = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    mixed = stored(rows.join(mixed.select("token", "m"), "token"), "mixed")
+    # so many tokens of many documents a pair has in common at most
+    heavy = mixed.filter(F.col("m") > SMALL).groupBy("node", "a").agg(F.count("*").alias("k"))
+    mixed = mixed.join(heavy, ["node", "a"], "left").fillna(0, ["k"]).withColumnRenamed("node", "")
+    side = lambda df, x: df.select("token", *[F.col(c).alias(f"{c}{x}") for c in df.columns if c not in ("token", "m")])
+    ends = ["u", "au", "v", "av"]
+
+    few = mixed.filter(F.col("m") <= SMALL)
+    few = side(few, "u").join(side(few, "v"), "token").filter((F.col("u") > F.col("v")) & (F.col("rootu") != F.col("rootv")) & _close("nu", "nv", percent))
+    few = few.groupBy(*ends, "nu", "nv", "ku", "kv").agg(F.count("*").alias("shared"))
+    few = few.filter(_enough(F.col("shared") + F.least("ku", "kv"), F.col("nu"), F.col("nv"), percent)).select(*ends)
+
+    many = stored(mixed.filter(F.col("m") > SMALL), "many")
+    cells = many.groupBy("token", "n", "rank", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    cell = [["nu", "ranku", "ku"], ["nv", "rankv", "kv"]]
+    enough = _enough(F.least("ku", "kv"), F.col("nu"), F.col("nv"), percent)
+    order = F.struct(*cell[0]) <= F.struct(*cell[1])
+    several = F.least("lou", "lov") < F.greatest("hiu", "hiv")
+    cells = side(cells, "u").join(side(cells, "v"), "token").filter(order & several & _close("nu", "nv", percent) & _ahead(percent) & enough)
+    cells = stored(cells.select("token", *cell[0], *cell[1]), "cells")
+    many = cells.join(side(many, "u"), ["token", *cell[0]]).join(side(many, "v"), ["token", *cell[1]])
+    many = many.filter((F.col("rootu") != F.col("rootv")) & ((F.struct(*cell[0]) != F.struct(*cell[1])) | (F.col("u") > F.col("v"))))
+    ordered = [F.when(F.col("u") > F.col("v"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in zip(ends, ["v", "av", "u", "au"], strict=True)]
+    return few.union(many.select(*ordered)).distinct()
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
@@ -275,7 +331,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     nodes = stored(keys.filter("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("node")).filter("node is not null"), "nodes")
 
-    prefixes = docs.mapInArrow(_prefixes(n, percent, sent), "token long, a long, n int, frequent boolean")
+    prefixes = docs.mapInArrow(_prefixes(n, percent, sent), "token long, a long, n int, rank int, frequent boolean")
     same = Window.partitionBy("token")
     rare = prefixes.filter("not frequent").withColumn("lo", F.min("a").over(same)).withColumn("hi", F.max("a").over(same))
     shared = rare.filter("lo < hi").drop("lo", "hi").union(prefixes.filter("frequent")).distinct()
@@ -299,14 +355,11 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return stored(_verified(possible, sets, percent, orders), "links")
 
     lines = [_chain(tokens, seed, percent) for seed in range(LINES)]
-    edges = linked(reduce(DataFrame.union, lines).distinct())
+    edges = linked(reduce(DataFrame.union, [*lines, _hubs(tokens, percent)]).distinct())
     roots = stored(components(edges, "u", "v"), "roots")
     # what is left: all pairs under a common token whose ends are not yet in one component
     rows = tokens.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node"))
-    side = lambda x: rows.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("a", "n", "root")])
-    across = (F.col("u") > F.col("v")) & (F.col("rootu") != F.col("rootv")) & _close("nu", "nv", percent)
-    rest = side("u").join(side("v"), "token").filter(across).groupBy("u", "au", "nu", "v", "av", "nv").agg(F.count("*").alias("shared"))
-    rest = rest.filter(_enough(F.col("shared"), F.col("nu"), F.col("nv"), percent)).select("u", "au", "v", "av")
+    rest = _across(rows.select("token", "node", "a", "n", "rank", "root"), percent)
     edges = edges.union(linked(rest))
     roots = stored(components(edges, "u", "v"), "roots")
 

@@ -269,6 +269,29 @@ def test_ngram_jaccard(docs, nothing, texts):
     assert ngramjoin.ngram_jaccard(nothing).isEmpty()
 
 
+def test_copies_with_many_edits(spark, monkeypatch):
+    rnd, base, texts = random.Random(5), prose(90, 145).split(), []
+    for i in range(150):  # those with up to three edits are alike with the base, those with more with nothing
+        words = list(base)
+        for k in rnd.sample(range(5, 135), (0, 1, 2, 3, 4, 5, 5)[i % 7]):
+            words[k] = f"edit{i}x{k}"
+        texts.append(" ".join(words))
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) for t in texts]  # noqa: B905
+    root = list(range(len(sets)))
+    for _ in root:
+        before = list(root)
+        for x, a in enumerate(sets):
+            root[x] = min(root[y] for y, b in enumerate(sets) if 100 * len(a & b) >= 80 * len(a | b))
+        if root == before:
+            break
+    made, across = [], ngramjoin._across
+    monkeypatch.setattr(ngramjoin, "_across", lambda rows, percent: made.append(across(rows, percent)) or made[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngramjoin.ngram_jaccard(docs).collect()} == dict(enumerate(root))
+    assert 40 < len(set(root)) < 100
+    assert made[0].count() < 150  # of 150 * 149 / 2 pairs
+
+
 def test_bins_that_overflow(spark):
     big = " ".join(f"w{k}" for k in range(60_000))
     docs = spark.createDataFrame([(1, big), (2, big + " tail one two three")], "doc_id long, text string")
