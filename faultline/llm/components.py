@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from faultline.session import cut_lineage
 
+#: edges to a task: a round over a small table makes few files, whatever the number of shuffle partitions
+TASK_EDGES = 100_000
+
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, root) for every node of an undirected edge table; root is the smallest node reachable.
@@ -19,17 +22,19 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u > v").distinct()
     pairs = cut_lineage(pairs)
+    parts = -(-pairs.count() // TASK_EDGES) or 1
+    pairs = pairs.coalesce(parts)
     while True:
         both = pairs.union(pairs.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
+        low = low.select("u", F.least("u", "m").alias("m")).coalesce(parts)
         # larger neighbours of u learn the smallest node of u
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut_lineage(large.filter("u > v").distinct())
+        large = cut_lineage(large.filter("u > v").coalesce(parts).distinct().coalesce(parts))
         # u and its smaller neighbours hang under the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        small = small.union(least).distinct()
+        small = small.coalesce(parts).union(least).distinct().coalesce(parts)
         small = cut_lineage(small)
         same = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
         if same.first() == pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first():

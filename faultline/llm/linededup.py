@@ -81,6 +81,11 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return rows.withColumns({"size": F.size("hashes")} | {f"m{i}": F.expr(m) for i, m in enumerate(maps)})
 
 
+def _close(nu: str, nv: str) -> Column:
+    """Whether two sizes allow the similarity."""
+    return (F.col(nu) * 100 >= F.col(nv) * PERCENT) & (F.col(nv) * 100 >= F.col(nu) * PERCENT)
+
+
 def _possible(nu: Column | str, nv: Column | str):
     """Whether the bitmaps m0 ... m3 of u and v allow the similarity. A place that only one of two bitmaps has stands
     for a shingle that only that line has."""
@@ -89,6 +94,13 @@ def _possible(nu: Column | str, nv: Column | str):
     return most * (100 + PERCENT) >= (F.col(nu) + F.col(nv)) * PERCENT
 
 
+def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of keys whose sizes and bitmaps allow the similarity; the sets themselves stay where they are."""
+    for x in "uv":
+        pairs = pairs.join(sets.select(F.col("k1").alias(x), F.col("size").alias(f"s{x}"), *[F.col(f"m{i}").alias(f"m{i}{x}") for i in range(4)]), x)
+    return pairs.filter(_close("su", "sv") & _possible("su", "sv")).select("u", "v")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(uk, vk): the pairs (u, v) of keys whose sets are alike."""
     for x in "uv":
@@ -110,8 +122,7 @@ def _within(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     marks = sets.select("k1", F.col("size").alias("s"), *[f"m{i}" for i in range(4)])
     rows = mixed.select("k1", "band", "root").join(marks, "k1")
     side = lambda x: rows.select("band", *[F.col(c).alias(f"{c}{x}") for c in rows.columns if c != "band"])
-    close = (F.col("su") * 100 >= F.col("sv") * PERCENT) & (F.col("sv") * 100 >= F.col("su") * PERCENT)
-    met = side("u").join(side("v"), "band").filter((F.col("k1u") > F.col("k1v")) & (F.col("rootu") != F.col("rootv")) & close & _possible("su", "sv"))
+    met = side("u").join(side("v"), "band").filter((F.col("k1u") > F.col("k1v")) & (F.col("rootu") != F.col("rootv")) & _close("su", "sv") & _possible("su", "sv"))
     return met.select(F.col("k1u").alias("u"), F.col("k1v").alias("v")).distinct()
 
 
@@ -182,7 +193,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     ends = pairs.select(F.explode(F.array("u", "v")).alias("k1")).distinct()
     places = stored(texts.join(ends, "k1").select("place.*", "k1", "k2"), "places")
     sets = stored(_texts(docs, places), "sets")
-    alike = stored(_verified(pairs, sets), "alike")
+    alike = stored(_verified(stored(_allowed(pairs, sets), "allowed"), sets), "alike")
     roots = stored(components(alike, "uk", "vk"), "roots")
 
     def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -192,7 +203,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     roots = roots if links.isEmpty() else joined(roots, links)
     large = buckets.filter(F.col("n") > SMALL)
     for seed in range(ROUNDS):
-        links = stored(_verified(_shuffled(_mixed(large, roots), seed), sets), "links")
+        links = stored(_verified(stored(_allowed(_shuffled(_mixed(large, roots), seed), sets), "allowed"), sets), "links")
         if links.isEmpty():
             break
         roots = joined(roots, links)

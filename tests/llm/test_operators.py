@@ -1,4 +1,5 @@
 import hashlib
+import importlib
 import random
 import re
 import string
@@ -420,6 +421,34 @@ def test_small_buckets_list_their_pairs(spark, monkeypatch):
     assert left == [0]  # no line of a small bucket goes through the join on shingles
 
 
+def test_unlike_neighbours_are_not_verified(spark):
+    words = [prose(k, 30).split() for k in (501, 502)]
+    lines = [" ".join(words[0]), " ".join([*words[0][:-1], "other"]), " ".join(words[1])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    places = linededup._lines(docs).select("doc_id", "rid", "pos", "k1", "k2")
+    k1 = {r.doc_id: r.k1 for r in places.collect()}
+    pairs = spark.createDataFrame([(k1[0], k1[1]), (k1[0], k1[2]), (k1[1], k1[2])], "u long, v long")
+    assert [tuple(r) for r in linededup._allowed(pairs, linededup._texts(docs, places)).collect()] == [(k1[0], k1[1])]
+
+
+def test_rounds_over_few_edges_make_few_files(spark, monkeypatch):
+    rounds = importlib.import_module("faultline.llm.components")
+    made, cut = [], rounds.cut_lineage
+    monkeypatch.setattr(rounds, "cut_lineage", lambda df: made.append(df.rdd.getNumPartitions()) or cut(df))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "9"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(20) if i != 9], "src long, dst long")
+        got = {r.node: r.root for r in rounds.components(edges).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 10 * (i > 9) for i in range(21)}
+    assert len(made) > 4 and max(made[1:]) == 1
+
+
 def test_secrets(spark, nothing):
     digest = hashlib.sha1(b"x").hexdigest()
     key = "zQ7xK9vB2mW5tR8yP3nL"
