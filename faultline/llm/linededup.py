@@ -102,7 +102,10 @@ def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(uk, vk): the pairs (u, v) of keys whose sets are alike."""
+    """(uk, vk): the pairs (u, v) of keys whose sets are alike. Few pairs do not set all sets moving."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("k1")).distinct()
+    if is_small(ends):
+        sets = sets.join(F.broadcast(ends), "k1", "left_semi")
     for x in "uv":
         pairs = pairs.join(sets.select(F.col("k1").alias(x), F.struct("k1", "k2").alias(f"{x}k"), F.col("hashes").alias(f"{x}h")), x)
     common = F.size(F.array_intersect("uh", "vh"))
@@ -140,33 +143,37 @@ def _shuffled(mixed: DataFrame, seed: int) -> DataFrame:
 def _across(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of keys in different components that can be alike, of all lines in buckets with several components.
 
-    Shingles are ordered by how many of these lines have them, the rarest first. Of two alike sets, the first
+    Shingles are ordered: those of one component only come first, as no pair has them in common, the others by how
+    many of these lines have them, the rarest first. Of two alike sets, the first
     ``size - ceil(2t / (1 + t) size) + 1`` shingles of the smaller and the first ``size - ceil(t size) + 1`` of
     the larger have one in common. A template's shingles come last, so lines that share only the
-    template do not meet, however many they are.
+    template do not meet, however many they are. A pair is made under the first shingle that both have, once, and
+    only if what is left of the sets from there on, the number of shared first shingles and the bitmaps allow the
+    similarity.
     """
     left = mixed.select("k1", "root").distinct()
-    spread = sets.join(left, "k1").select("k1", "k2", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("s"))
-    counts = spread.groupBy("s").agg(F.count("*").alias("c"))
-    ranked = spread.join(counts, "s").groupBy("k1", "k2", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("order"))
+    marks = sets.join(left, "k1").select("k1", "k2", "root", F.col("size").alias("n"), *[f"m{i}" for i in range(4)], "hashes")
+    spread = marks.select("k1", "k2", "root", F.explode("hashes").alias("s"))
+    counts = spread.groupBy("s").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    ranked = spread.drop("root").join(counts.select("s", "c"), "s").groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("order"))
+    ranked = ranked.join(marks.drop("hashes"), ["k1", "k2"]).withColumn("own", F.col("n") - F.size("order"))
     size = F.col("n")
     short = (size - F.ceil(size * (2 * PERCENT) / (100 + PERCENT)) + 1).cast("int")
     long = (size - F.ceil(size * PERCENT / 100) + 1).cast("int")
-    ranked = ranked.select("k1", "root", "n", short.alias("short"), long.alias("long"), "order")
-    prefix = ranked.select("k1", "root", "n", "short", "long", F.posexplode(F.slice("order", F.lit(1), F.col("long"))).alias("rank", "x"))
-    prefix = stored(prefix.filter("x.c > 1").select("k1", "root", "n", "short", "long", "rank", F.col("x.s").alias("s")), "prefixes")
-    side = lambda x: prefix.select("s", *[F.col(c).alias(f"{c}{x}") for c in ("k1", "root", "n", "short", "long", "rank")])
+    ranked = ranked.withColumns({"short": short, "long": long}).filter("own < long")
+    firsts = {f"{x}s": F.transform(F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col(x) - F.col("own"))), lambda y: y["s"]) for x in ("short", "long")}
+    marks = ["k1", "root", "n", "short", "long", "shorts", "longs", *[f"m{i}" for i in range(4)]]
+    prefix = ranked.withColumns(firsts).select(*marks, "own", F.posexplode("longs").alias("at", "s"))
+    prefix = stored(prefix.select(*marks, (F.col("own") + F.col("at")).alias("rank"), "s"), "prefixes")
+    side = lambda x: prefix.select("s", *[F.col(c).alias(f"{c}{x}") for c in (*marks, "rank")])
     ordered = (F.col("nu") < F.col("nv")) | (F.col("nu") == F.col("nv")) & (F.col("k1u") < F.col("k1v"))
-    met = side("u").filter("ranku < shortu").join(side("v"), "s")
-    met = met.filter(ordered & (F.col("rootu") != F.col("rootv")) & (F.col("nu") * 100 >= F.col("nv") * PERCENT))
-    met = met.groupBy("k1u", "nu", "shortu", "k1v", "nv", "longv").agg(F.count("*").alias("shared"))
+    enough = lambda most: most * (100 + PERCENT) >= (F.col("nu") + F.col("nv")) * PERCENT
+    ahead = enough(F.least(F.col("nu") - F.col("ranku"), F.col("nv") - F.col("rankv")))
+    both = F.array_intersect("shortsu", "longsv")
     # behind the prefix that ends first, no common shingle is missed by the count
-    most = F.col("shared") + F.greatest(F.col("nu") - F.col("shortu"), F.col("nv") - F.col("longv"))
-    met = met.filter(most * (100 + PERCENT) >= (F.col("nu") + F.col("nv")) * PERCENT)
-    marks = sets.join(left.select("k1"), "k1").select("k1", *[f"m{i}" for i in range(4)])
-    for x in "uv":
-        met = met.join(marks.select(F.col("k1").alias(f"k1{x}"), *[F.col(f"m{i}").alias(f"m{i}{x}") for i in range(4)]), f"k1{x}")
-    met = met.filter(_possible("nu", "nv"))
+    shared = enough(F.size(both) + F.greatest(F.col("nu") - F.col("shortu"), F.col("nv") - F.col("longv")))
+    allowed = ordered & (F.col("rootu") != F.col("rootv")) & (F.col("nu") * 100 >= F.col("nv") * PERCENT) & ahead & _possible("nu", "nv")
+    met = side("u").filter("ranku < shortu").join(side("v"), "s").filter(allowed & (F.get(both, F.lit(0)) == F.col("s")) & shared)
     return met.select(F.greatest("k1u", "k1v").alias("u"), F.least("k1u", "k1v").alias("v")).distinct()
 
 
@@ -187,11 +194,11 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
     rows = texts.select("k1", F.explode(F.array(*bands)).alias("band"))
     sizes = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = stored(rows.join(sizes, "band"), "buckets")
+    buckets = stored(rows.join(sizes.hint("shuffle_hash"), "band"), "buckets")
     pairs = stored(_neighbours(buckets), "pairs")
 
     ends = pairs.select(F.explode(F.array("u", "v")).alias("k1")).distinct()
-    places = stored(texts.join(ends, "k1").select("place.*", "k1", "k2"), "places")
+    places = stored(texts.join(ends.hint("shuffle_hash"), "k1").select("place.*", "k1", "k2"), "places")
     sets = stored(_texts(docs, places), "sets")
     alike = stored(_verified(stored(_allowed(pairs, sets), "allowed"), sets), "alike")
     roots = stored(components(alike, "uk", "vk"), "roots")
@@ -210,11 +217,12 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     links = stored(_verified(stored(_across(stored(_mixed(large, roots), "mixed"), sets), "across"), sets), "links")
     roots = roots if links.isEmpty() else joined(roots, links)
 
-    groups = texts.select(F.struct("k1", "k2").alias("node"), "place", "copies").join(roots, "node", "left")
-    groups = groups.withColumn("root", F.coalesce("root", "node"))
+    groups = texts.select(F.struct("k1", "k2").alias("node"), "place", "copies").join(roots.hint("shuffle_hash"), "node", "left")
+    # a line without copies and links is its own group and stays
+    groups = stored(groups.filter("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "node")), "groups")
     best = groups.groupBy("root").agg(F.min("place").alias("best"), F.sum("copies").alias("copies")).filter("copies > 1")
     best = stored(groups.select("node.*", "root").join(best, "root").select("k1", "k2", "best"), "best")
-    found = lines.select("k1", "k2", place.alias("place")).join(best, ["k1", "k2"])
+    found = lines.select("k1", "k2", place.alias("place")).join(best.hint("shuffle_hash"), ["k1", "k2"])
     return found.filter(F.col("place") != F.col("best")).select("place.*")
 
 

@@ -13,6 +13,7 @@ from faultline.llm import decontam, huffman, ibltdiff, linededup, ngramjoin, pie
 from faultline.llm.bytebpe import WordCache
 from faultline.llm.components import components
 from faultline.llm.textscan import WORD_BYTES, span_hashes, text_buffer, word_spans
+from pyspark.sql import functions as F
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -421,6 +422,22 @@ def test_small_buckets_list_their_pairs(spark, monkeypatch):
     assert left == [0]  # no line of a small bucket goes through the join on shingles
 
 
+def test_pairs_across_are_made_once_and_tested_where_they_meet(spark):
+    template = prose(320, 40)  # strangers share the template; in the last two all but one word agree
+    lines = [f"{template} {prose(2000 + k, 12)}" for k in range(40)]
+    lines.append(lines[0].replace(lines[0].split()[45], "changed", 1))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    places = linededup._lines(docs).select("doc_id", "rid", "pos", "k1", "k2").cache()
+    sets = linededup._texts(docs, places)
+    mixed = places.select("k1", F.lit(1).alias("band"), F.lit(len(lines)).alias("n"), F.col("k1").alias("root"))
+    met = linededup._across(mixed, sets)
+    k1 = {r.doc_id: r.k1 for r in places.collect()}
+    assert (max(k1[0], k1[40]), min(k1[0], k1[40])) in [tuple(r) for r in met.collect()]
+    assert met.count() < 5  # of 41 * 40 / 2 pairs
+    joins = re.findall(r"Join \[(\w+)", met._jdf.queryExecution().executedPlan().toString())
+    assert {re.sub(r"\d+$", "", k) for k in joins} == {"s"}  # no join lists pairs before their bitmaps are tested
+
+
 def test_unlike_neighbours_are_not_verified(spark):
     words = [prose(k, 30).split() for k in (501, 502)]
     lines = [" ".join(words[0]), " ".join([*words[0][:-1], "other"]), " ".join(words[1])]
