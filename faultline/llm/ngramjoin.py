@@ -35,14 +35,24 @@ SALTS = 64
 BINS = 256
 #: lines in which each document is held against its neighbours before all pairs across components are
 LINES = 2
+#: bytes of text whose tokens are worked out at once; some 50 bytes of working memory go with each
+SLICE_BYTES = 1 << 19
 #: documents under one token up to which all their pairs are listed; beyond, first the pairs of sizes and ranks
 SMALL = 16
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some ``SLICE_BYTES`` of text, so that what is copied of them stays as small."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(SLICE_BYTES, batch.nbytes))
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _token_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For slices of a text column: first row, end row, n-gram hashes and their rows inside the slice."""
     data, offsets = text_buffer(column)
-    for lo, hi in slices(offsets):
+    for lo, hi in slices(offsets, SLICE_BYTES):
         part = lower_ascii(data[offsets[lo] : offsets[hi]])
         starts, ends, rows = word_spans(part, offsets[lo : hi + 1] - offsets[lo])
         tokens, owner, _ = gram_hashes(span_hashes(part, starts, ends), rows, hi - lo, n)
@@ -80,7 +90,7 @@ def _set_keys(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.zeros(1 << BUCKET_BITS, np.uint8)
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             ids = _ids(batch)
             for lo, hi, tokens, owner in _token_sets(batch.column(1), n):
                 tokens, rows, _, sizes = _ordered(tokens, owner, hi - lo, 0, flat)
@@ -104,7 +114,7 @@ def _prefixes(n: int, percent: int, sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = sent.value
-        for batch in batches:
+        for batch in _parts(batches):
             for lo, hi, tokens, owner in _token_sets(batch.column(1), n):
                 tokens, rows, rank, sizes = _ordered(tokens, owner, hi - lo, 0, classes)
                 key = _checksum(tokens, sizes)
@@ -147,7 +157,7 @@ def _marks(n: int, sent, wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, bitmap = sent.value, wanted.value
-        for batch in batches:
+        for batch in _parts(batches):
             ids, texts = _chosen(batch, bitmap)
             for lo, hi, tokens, owner in _token_sets(texts, n):
                 t, r, _, sizes = _ordered(tokens, owner, hi - lo, 0, classes)
@@ -169,7 +179,7 @@ def _whole_sets(n: int, percent: int, orders: int, sent, wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, bitmap = sent.value, wanted.value
-        for batch in batches:
+        for batch in _parts(batches):
             ids, texts = _chosen(batch, bitmap)
             for lo, hi, tokens, owner in _token_sets(texts, n):
                 lists = []

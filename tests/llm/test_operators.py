@@ -294,6 +294,17 @@ def test_copies_with_many_edits(spark, monkeypatch):
     assert made[0].count() < 150  # of 150 * 149 / 2 pairs
 
 
+def test_texts_are_worked_on_in_small_slices(monkeypatch):
+    texts = [prose(k % 50, 300) for k in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array(texts)], ["id", "text"])
+    seen, hashes = [], ngramjoin.span_hashes
+    monkeypatch.setattr(ngramjoin, "span_hashes", lambda data, *ends: seen.append(len(data)) or hashes(data, *ends))
+    found = [b for b in ngramjoin._set_keys(5)([batch])][:-1]
+    assert sum(seen) == sum(map(len, texts)) > 2 << 20 and max(seen) <= 1 << 19
+    assert [i for b in found for i in b.column("id").to_pylist()] == list(range(2500))
+    assert len({tuple(b.column(c)[i].as_py() for c in "nab") for b in found for i in range(b.num_rows)}) == 50
+
+
 def test_bins_that_overflow(spark):
     big = " ".join(f"w{k}" for k in range(60_000))
     docs = spark.createDataFrame([(1, big), (2, big + " tail one two three")], "doc_id long, text string")
