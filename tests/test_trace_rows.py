@@ -1,12 +1,14 @@
 """Traces worked on as one row against the round by round form, and what the plans read and move."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 
 from conftest import rows
 from faultline.operators import causal, scale
 from faultline.operators import spans as sp
+from faultline.plans import traces
 from faultline.sources.telemetry import Telemetry
 
 SCHEMA = "trace_id long, span_id long, parent_span_id long, service string, duration double, status long, ts long"
@@ -63,6 +65,15 @@ def test_profiles_are_not_replicated(spark, monkeypatch):
     assert {r.n_match for r in got.collect()} == {6}
 
 
+def test_matches_are_not_held_by_the_driver(spark):
+    span = lambda trace, i, parent, service, status: (trace, i, parent, service, 5.0, status, i)
+    data = [span(t, 1, None, "a", int(t < 3)) for t in range(11)] + [span(2, 2, 1, "b", 0), span(20, 1, None, "z", 1)]
+    found = traces.j12_match(SimpleNamespace(spans=spark.createDataFrame(data, SCHEMA)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan and "InMemoryRelation" not in plan and "_salt" not in plan
+    assert rows(found) == sorted([(t, 2 + pos, pos) for t in (0, 1) for pos in range(1, 7)], key=str)
+
+
 def test_tasks_hold_a_fixed_number_of_reports(spark):
     many = scale.spread(spark.range(10_000), 10_000, ["id"], task_rows=100)
     assert many.rdd.getNumPartitions() == 100
