@@ -74,6 +74,15 @@ def test_matches_are_not_held_by_the_driver(spark):
     assert rows(found) == sorted([(t, 2 + pos, pos) for t in (0, 1) for pos in range(1, 7)], key=str)
 
 
+def test_verdicts_take_all_normals_of_a_signature(spark):
+    normal = [(10 + i, 1, None, "a", ms, 0, i) for i, ms in enumerate([10.0, 11.0, 12.0, 10.0, 11.0, 12.0, 100.0, 120.0])]
+    bad = [(1, 1, None, "a", 50.0, 1, 0), (2, 1, None, "a", 5000.0, 1, 0), (3, 1, None, "z", 9.0, 1, 0)]
+    found = traces.a14_verdicts(SimpleNamespace(spans=spark.createDataFrame(normal + bad, SCHEMA)))
+    got = {r.trace_id: (r.n_match, r.n_out, r.verdict) for r in found.collect()}
+    # against the first six alone 50 ms would be a timeout
+    assert got == {1: (8, 0, "none"), 2: (8, 1, "timeout"), 3: (0, 0, "structural")}
+
+
 def test_tasks_hold_a_fixed_number_of_reports(spark):
     many = scale.spread(spark.range(10_000), 10_000, ["id"], task_rows=100)
     assert many.rdd.getNumPartitions() == 100
